@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 
 from catalog.queries import (
-    EVIDENCE_FEATURES, GRAPH_FEATURES, PLACES, SEEDS, TOP_FEATURES,
+    EVIDENCE_FEATURES, GRAPH_FEATURES, NUDGE, PLACES, SEEDS, TOP_FEATURES,
 )
 from riskgraph.functions import review
 from riskgraph.functions.bins import bin_edges, bin_names
@@ -20,11 +20,8 @@ from riskgraph.sources.sample import SAMPLE_EDGE_FEATURES
 
 
 def num(expression: str, name: str | None = None) -> str:
-    """Rounded double without a negative zero."""
-    text = (
-        f"CASE WHEN abs(({expression})::DOUBLE) < {0.5 * 10 ** -PLACES:.10f} THEN 0.0::DOUBLE "
-        f"ELSE round(({expression})::DOUBLE, {PLACES}) END"
-    )
+    """Rounded double with the same nudge as the queries; adding 0 clears a negative zero."""
+    text = f"(round(({expression})::DOUBLE + {NUDGE!r}::DOUBLE, {PLACES}) + 0.0::DOUBLE)"
     return f"{text} AS {name}" if name else text
 
 
@@ -446,14 +443,14 @@ def hop_block(nodes: str, features, reverse: bool, prefix: str) -> str:
 
 
 _HOP_1 = list(GRAPH_FEATURES[:2])
-_HOP_2 = _HOP_1 + [f"in_{f}" for f in _HOP_1] + [f"out_{f}" for f in _HOP_1]
-_HOP_3 = _HOP_2 + [f"in_{f}" for f in _HOP_2] + [f"out_{f}" for f in _HOP_2]
+_HOP_2 = _HOP_1 + [f"in1_{f}" for f in _HOP_1] + [f"out1_{f}" for f in _HOP_1]
+_HOP_3 = _HOP_2 + [f"in2_{f}" for f in _HOP_2] + [f"out2_{f}" for f in _HOP_2]
 for _level, _base, _names in ((1, "graph_nodes", _HOP_1), (2, "hop_1", _HOP_2)):
-    BLOCKS[f"forward_{_level}"] = hop_block(_base, _names, False, "in_")
-    BLOCKS[f"backward_{_level}"] = hop_block(_base, _names, True, "out_")
+    BLOCKS[f"forward_{_level}"] = hop_block(_base, _names, False, f"in{_level}_")
+    BLOCKS[f"backward_{_level}"] = hop_block(_base, _names, True, f"out{_level}_")
     BLOCKS[f"hop_{_level}"] = (
         f"SELECT node_id, {_base}.component_id, "
-        + ", ".join(_names + [f"in_{f}" for f in _names] + [f"out_{f}" for f in _names])
+        + ", ".join(_names + [f"in{_level}_{f}" for f in _names] + [f"out{_level}_{f}" for f in _names])
         + f" FROM {_base} JOIN (SELECT * EXCLUDE (component_id) FROM forward_{_level}) USING (node_id) "
         f"JOIN (SELECT * EXCLUDE (component_id) FROM backward_{_level}) USING (node_id)"
     )

@@ -161,17 +161,20 @@ def require_evidence(cases: DataFrame) -> DataFrame:
 def evidence_wide(cases: DataFrame, k: int = 3) -> DataFrame:
     """Queue rows with ``evidence_1..k`` sentences, empty text where there are fewer."""
 
-    def sentence(i: int):
-        e = F.get("evidence", F.lit(i))
-        text = review.evidence_text(
+    # One sentence expression for the whole array keeps the generated code short.
+    sentences = F.transform(
+        "evidence",
+        lambda e: review.evidence_text(
             e["feature"], e["value"], e["percentile"], e["zscore"], e["importance"]
-        )
-        return F.coalesce(F.when(e.isNotNull(), text), F.lit("")).alias(f"evidence_{i + 1}")
-
+        ),
+    )
     kept = [c for c in cases.columns if c != "evidence"]
-    return cases.select(
+    return cases.withColumn("__sentences", sentences).select(
         *[column(c) for c in kept],
-        *[sentence(i) for i in range(k)],
+        *[
+            F.coalesce(F.get("__sentences", F.lit(i)), F.lit("")).alias(f"evidence_{i + 1}")
+            for i in range(k)
+        ],
         F.lit(review.EVIDENCE_METHOD).alias("evidence_method"),
         F.lit(review.EVIDENCE_NOTE).alias("evidence_note"),
     )

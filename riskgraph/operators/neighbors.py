@@ -12,7 +12,7 @@ from riskgraph.functions.labels import prefixed_features, renamed_features
 from riskgraph.operators import linking
 from riskgraph.operators.enrich import match_node_features, node_match_audit
 from riskgraph.operators.models import FittedLogistic, fit_logistic, train_test
-from riskgraph.operators.profile import filtered_counts
+from riskgraph.operators.profile import filtered_counts, one_row
 from riskgraph.session import materialize
 
 
@@ -39,12 +39,6 @@ def graph_dataset(
     }
 
 
-def _one_row(parts: Sequence[DataFrame]) -> DataFrame:
-    """One-row tables side by side, joined on a constant key."""
-    keyed = [p.withColumn("__key", F.lit(1)) for p in parts]
-    return reduce(lambda a, b: a.join(b, "__key"), keyed).drop("__key")
-
-
 def graph_dataset_profile(
     components: DataFrame, nodes: DataFrame, edges: DataFrame, graph: dict[str, DataFrame]
 ) -> DataFrame:
@@ -60,7 +54,7 @@ def graph_dataset_profile(
     )
     features = [c for c in graph["nodes"].columns if c.startswith("node_feat_")]
     kept = graph["edges"].agg(F.count(F.lit(1)).alias("output_edge_rows"))
-    row = _one_row([audit, counted_edges, kept, filtered_counts(components)])
+    row = one_row([audit, counted_edges, kept, filtered_counts(components)])
     failing = (
         "missing_labeled_nodes",
         "duplicate_background_matches",
@@ -110,15 +104,15 @@ def khop_dual_channel(
 ) -> DataFrame:
     """Own, forward and reverse vectors joined at every hop: 3**layers columns per feature.
 
-    Columns gain the prefix ``in_`` or ``out_`` per hop. Each hop is written out, so the
-    next one starts from a table instead of a growing lineage.
+    Hop h prefixes its columns with ``in<h>_`` and ``out<h>_``. Each hop is written out, so
+    the next one starts from a table instead of a growing lineage.
     """
     if layers < 1:
         raise ValueError("layers must be at least 1")
     current, names = nodes.select("node_id", "component_id", *features), list(features)
-    for _ in range(layers):
-        forward = neighbor_mean(current, edges, names, False, "in_").drop("component_id")
-        backward = neighbor_mean(current, edges, names, True, "out_").drop("component_id")
+    for hop in range(1, layers + 1):
+        forward = neighbor_mean(current, edges, names, False, f"in{hop}_").drop("component_id")
+        backward = neighbor_mean(current, edges, names, True, f"out{hop}_").drop("component_id")
         current = materialize(
             current.join(forward, "node_id", "left").join(backward, "node_id", "left"), "hop"
         )

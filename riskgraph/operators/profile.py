@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -118,14 +119,27 @@ def target_name_columns(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return column_coverage(df, names).filter(target_like(F.col("feature")))
 
 
+def one_row(parts: Sequence[DataFrame]) -> DataFrame:
+    """One-row tables side by side, joined on a constant key."""
+    keyed = [p.withColumn("__key", F.lit(1)) for p in parts]
+    return reduce(lambda a, b: a.join(b, "__key"), keyed).drop("__key")
+
+
 def nonfinite_count(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    """NULL, NaN and infinite cells over all feature columns, in one pass."""
-    cells = None
-    for name in features:
+    """NULL, NaN and infinite cells over all feature columns, in one pass.
+
+    One counter per column: a single sum over hundreds of columns would be too long for one
+    generated method.
+    """
+
+    def bad(name: str):
         value = column(name).cast("double")
-        bad = (value.isNull() | F.isnan(value) | (F.abs(value) == float("inf"))).cast("long")
-        cells = bad if cells is None else cells + bad
-    return df.agg(F.coalesce(F.sum(cells), F.lit(0)).alias("nonfinite_values"))
+        return value.isNull() | F.isnan(value) | (F.abs(value) == float("inf"))
+
+    counted = df.agg(*[F.count_if(bad(c)).alias(f"c{i}") for i, c in enumerate(features)])
+    counters = F.array(*[F.col(f"c{i}") for i in range(len(features))])
+    total = F.aggregate(counters, F.lit(0).cast("long"), lambda acc, n: acc + n)
+    return counted.select(total.alias("nonfinite_values"))
 
 
 def filtered_counts(components: DataFrame) -> DataFrame:
@@ -183,23 +197,22 @@ def queue_qa(queue: DataFrame) -> DataFrame:
 def leakage_audit(store: DataFrame, features: Sequence[str] | None = None) -> DataFrame:
     """One row: rows, classes, features, repeated ids, non-finite cells, suspicious names."""
     names = list(features) if features is not None else numeric_features(store)
-    flags = None
-    for name in names:
-        value = column(name).cast("double")
-        bad = (value.isNull() | F.isnan(value) | (F.abs(value) == float("inf"))).cast("long")
-        flags = bad if flags is None else flags + bad
-    per_id = store.select("component_id", "label", flags.alias("bad")).groupBy("component_id").agg(
+    per_id = store.groupBy("component_id").agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(F.col("label") == 1).alias("pos"),
         F.count_if(F.col("label") == 0).alias("neg"),
-        F.sum("bad").alias("bad"),
     )
-    leaked = F.filter(F.array(*[F.lit(c) for c in names]), target_like)
-    return per_id.agg(
+    ids = per_id.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("rows"),
         F.coalesce(F.sum("pos"), F.lit(0)).alias("positive_rows"),
         F.coalesce(F.sum("neg"), F.lit(0)).alias("negative_rows"),
         F.lit(len(names)).cast("long").alias("feature_count"),
         F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicate_component_ids"),
-        F.coalesce(F.sum("bad"), F.lit(0)).alias("nonfinite_feature_values"),
-    ).withColumn("potential_target_name_columns", F.array_join(leaked, ","))
+    )
+    cells = nonfinite_count(store, names).withColumnRenamed(
+        "nonfinite_values", "nonfinite_feature_values"
+    )
+    leaked = F.filter(F.array(*[F.lit(c) for c in names]), target_like)
+    return one_row([ids, cells]).withColumn(
+        "potential_target_name_columns", F.array_join(leaked, ",")
+    )
