@@ -319,6 +319,26 @@ for _seed in SEEDS:
     BLOCKS[f"split_{_seed}"] = split_block("labelled", _seed, 0.2)
 BLOCKS["development"] = "SELECT component_id, label FROM split_42 WHERE NOT is_test"
 BLOCKS["split_inner"] = split_block("development", 43, 0.25)
+# Isotonic regression by its min-max formula over the distinct calibration scores.
+BLOCKS["levels"] = """
+SELECT x, n, p, sum(n) OVER (ORDER BY x) AS cn, sum(p) OVER (ORDER BY x) AS cp FROM (
+  SELECT risk_score AS x, count(*) AS n, sum(s.label) AS p
+  FROM scores s JOIN split_inner i USING (component_id) WHERE model = 'return_share' AND i.is_test GROUP BY 1)"""
+BLOCKS["monotone"] = """
+SELECT x, max(low) AS y FROM (
+  SELECT i.x, a.x AS from_x, min((b.cp - a.cp + a.p) / (b.cn - a.cn + a.n)::DOUBLE) AS low
+  FROM levels i JOIN levels a ON a.x <= i.x JOIN levels b ON b.x >= i.x GROUP BY 1, 2) GROUP BY x"""
+BLOCKS["asked"] = """
+SELECT s.component_id, s.label, risk_score AS x FROM scores s JOIN split_42 i USING (component_id)
+WHERE model = 'return_share' AND i.is_test"""
+BLOCKS["around"] = """
+SELECT x, coalesce((SELECT max(m.x) FROM monotone m WHERE m.x <= q.x), (SELECT min(x) FROM monotone)) AS x0,
+  coalesce((SELECT min(m.x) FROM monotone m WHERE m.x >= q.x), (SELECT max(x) FROM monotone)) AS x1
+FROM (SELECT DISTINCT x FROM asked) q"""
+BLOCKS["curve"] = """
+SELECT r.x, CASE WHEN x1 = x0 THEN a.y WHEN r.x <= x0 THEN a.y WHEN r.x >= x1 THEN b.y
+  ELSE a.y + (b.y - a.y) * (r.x - x0) / (x1 - x0) END AS y
+FROM around r JOIN monotone a ON a.x = x0 JOIN monotone b ON b.x = x1"""
 BLOCKS["parts"] = " UNION ALL ".join(
     f"SELECT {s}::BIGINT AS seed, component_id, label, CASE WHEN is_test THEN 'test' ELSE 'train' END AS part "
     f"FROM split_{s}"
@@ -889,6 +909,9 @@ SELECT label, n, {num('total / (2.0::DOUBLE * n)', 'class_weight')},
 FROM (SELECT label, count(*) AS n, sum(count(*)) OVER () AS total,
     sum(count(*) FILTER (label = 0)) OVER () AS neg FROM store GROUP BY label)"""
     made["shuffle_labels"] = "SELECT component_id, label FROM shuffled"
+    made["isotonic_calibration"] = (
+        f"SELECT component_id, label, {num('y', 'risk_score')} FROM asked JOIN curve USING (x)"
+    )
     made["split_audit"] = """
 SELECT seed, part, count(*) AS components, sum(label)::BIGINT AS positives FROM parts GROUP BY seed, part"""
     made["validation_gate"] = f"""

@@ -985,7 +985,18 @@ def sigmoid_calibration(t):
 
 @query
 def isotonic_calibration(t):
-    return _calibrated(t).filter("method IN ('raw_random_forest', 'isotonic')")
+    """Isotonic fit of the given scores on the calibration part, applied to the test part."""
+    parts = splits.three_way_split(t.feature_store().select("component_id", "label"))
+    given = t.scores().filter("model = 'return_share'").select("component_id", "risk_score")
+    held = materialize(parts.join(given, "component_id"), "held_out")
+    return models.isotonic_calibration(
+        held.filter("part = 'calibration'"), held.filter("part = 'test'")
+    ).select("component_id", "label", "risk_score")
+
+
+@query
+def forest_calibration(t):
+    return _calibrated(t)
 
 
 # Graph.

@@ -115,8 +115,12 @@ class SampleTables:
             ],
             F.lit(1.0).alias(f"feat#{NODE_FEATURES}"),
         )
-        orders = self._read("orders").select(
-            F.col("o_orderkey").alias("clId"), (F.col("o_orderkey") % size).alias("vec_id")
+        # Spread the narrow ids, not the wide rows: a small folder is one file, so one task.
+        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        orders = (
+            self._read("orders")
+            .select(F.col("o_orderkey").alias("clId"), (F.col("o_orderkey") % size).alias("vec_id"))
+            .repartition(parts, "clId")
         )
         rows = orders.join(wide, "vec_id").drop("vec_id")
         return rows.unionByName(rows.withColumn("clId", F.col("clId") + 7000000000))
