@@ -246,7 +246,7 @@ SELECT *, importance * abs(zscore) AS evidence_score FROM stats JOIN weights USI
 
 def fixed(x: str, digits: int) -> str:
     base = 10**digits
-    n = f"floor(({x}) * {base}.0::DOUBLE + 0.5::DOUBLE)::BIGINT"
+    n = f"round_even(({x}) * {base}.0::DOUBLE, 0)::BIGINT"
     return f"(({n} // {base})::VARCHAR || '.' || lpad(({n} % {base})::VARCHAR, {digits}, '0'))"
 
 
@@ -269,7 +269,8 @@ def _sig_text(m: str, e: str) -> str:
 
 BLOCKS["digits"] = """
 SELECT *, CASE WHEN raw >= 10000 THEN 1000 ELSE raw END AS m, e0 + (raw >= 10000)::INT AS e FROM (
-  SELECT *, floor(abs(value) * pow(10.0::DOUBLE, (3 - e0)::DOUBLE) + 0.5::DOUBLE)::BIGINT AS raw FROM (
+  SELECT *, round_even(CASE WHEN e0 > 3 THEN abs(value) / pow(10.0::DOUBLE, (e0 - 3)::DOUBLE)
+      ELSE abs(value) * pow(10.0::DOUBLE, (3 - e0)::DOUBLE) END, 0)::BIGINT AS raw FROM (
     SELECT *, CASE WHEN value = 0 THEN 0 ELSE floor(log10(nullif(abs(value), 0)))::INT END AS e0
     FROM scored_evidence))"""
 BLOCKS["sentences"] = f"""

@@ -45,19 +45,28 @@ def tier_reason(band: Column) -> Column:
 
 
 def fixed_digits(value: Column, digits: int) -> Column:
-    """Text of a value >= 0 with a fixed number of digits after the point, half up."""
+    """Text of a value >= 0 with a fixed number of digits after the point, ties to even.
+
+    The value is scaled in double precision before it is rounded, so a value that is not a
+    tie but lies within the last bit of one may round the other way than an exact formatter.
+    """
     base = 10**digits
-    scaled = F.floor(value * float(base) + 0.5)
+    scaled = F.rint(value * float(base)).cast("long")
     rest = F.pmod(scaled, F.lit(base))
     whole = ((scaled - rest) / base).cast("long").cast("string")
     return F.concat(whole, F.lit("."), F.lpad(rest.cast("string"), digits, "0"))
 
 
 def four_significant(value: Column) -> Column:
-    """Shortest text with four significant digits: plain from 1e-4 to 9999, else exponent."""
+    """Shortest text with four significant digits: plain from 1e-4 to 9999, else exponent.
+
+    Ties go to even, with the same limit as in :func:`fixed_digits`.
+    """
     size = F.abs(value)
     first = F.floor(F.log10(size))
-    raw = F.floor(size * F.pow(F.lit(10.0), (3 - first).cast("double")) + 0.5)
+    # Only whole powers of ten, which are exact.
+    power_of_ten = F.pow(F.lit(10.0), F.abs(3 - first).cast("double"))
+    raw = F.rint(F.when(first > 3, size / power_of_ten).otherwise(size * power_of_ten))
     carried = raw >= 10000
     digits = F.when(carried, F.lit(1000)).otherwise(raw).cast("long")
     power = F.when(carried, first + 1).otherwise(first)
