@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -99,11 +99,10 @@ def importance(t: SampleTables) -> DataFrame:
     def build() -> DataFrame:
         apart = gates.class_separation(t.feature_store(), EVIDENCE_FEATURES)
         size = F.col("abs_standardized_mean_difference")
-        whole = apart.agg(F.sum(size).alias("whole"))
+        # One row per listed feature.
+        share = size / F.sum(size).over(Window.partitionBy())
         return materialize(
-            apart.withColumn("k", F.lit(1))
-            .join(whole.withColumn("k", F.lit(1)), "k")
-            .select("feature", F.round(size / F.col("whole"), PLACES).alias("random_forest_importance")),
+            apart.select("feature", F.round(share, PLACES).alias("random_forest_importance")),
             "importance",
         )
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskgraph.functions.labels import column, numeric_features
+from riskgraph.operators.profile import one_row
 
 # Limits of the validation checks.
 MAX_RELATIVE_SPREAD = 0.10
@@ -83,9 +84,8 @@ def validation_gate(
     """One row: three hard checks, the numbers behind them, and the status.
 
     ``summary``, ``budget_summary`` and ``permutation`` have one row per model (and budget),
-    ``audit`` has one row; the four single rows are joined on the model name.
+    ``audit`` has one row. A missing row leaves NULLs, and its check does not pass.
     """
-    one = F.lit(model).alias("model")
     repeated = summary.filter(F.col("model") == model).select(
         "model",
         "average_precision_mean",
@@ -94,7 +94,6 @@ def validation_gate(
         "roc_auc_mean",
     )
     shuffled = permutation.filter(F.col("model") == model).select(
-        "model",
         F.col("average_precision").alias("permuted_average_precision"),
         F.col("roc_auc").alias("permuted_roc_auc"),
         "base_rate",
@@ -102,20 +101,18 @@ def validation_gate(
     top = budget_summary.filter(
         (F.col("model") == model) & (F.col("review_fraction") == GATE_BUDGET)
     ).select(
-        "model",
         F.col("precision_at_budget_mean").alias("top_0_5_percent_precision_mean"),
         F.col("lift_at_budget_mean").alias("top_0_5_percent_lift_mean"),
         F.col("suspicious_captured_mean").alias("top_0_5_percent_suspicious_captured_mean"),
     )
     schema = audit.select(
-        one,
         (
             (F.col("duplicate_component_ids") == 0)
             & (F.col("nonfinite_feature_values") == 0)
             & (F.col("potential_target_name_columns") == "")
         ).alias("schema_leakage_audit_pass"),
     )
-    row = repeated.join(shuffled, "model").join(top, "model").join(schema, "model")
+    row = one_row([repeated, shuffled, top, schema])
     base = F.col("base_rate")
     steady = (
         F.try_divide("average_precision_std", "average_precision_mean") < MAX_RELATIVE_SPREAD
@@ -131,7 +128,7 @@ def validation_gate(
             F.when(
                 F.col("repeated_split_stability_pass")
                 & F.col("permutation_sanity_pass")
-                & F.col("schema_leakage_audit_pass"),
+                & F.coalesce("schema_leakage_audit_pass", F.lit(False)),
                 "hard_checks_pass",
             ).otherwise("review_required"),
         )

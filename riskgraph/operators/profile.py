@@ -120,9 +120,9 @@ def target_name_columns(df: DataFrame, names: Sequence[str]) -> DataFrame:
 
 
 def one_row(parts: Sequence[DataFrame]) -> DataFrame:
-    """One-row tables side by side, joined on a constant key."""
-    keyed = [p.withColumn("__key", F.lit(1)) for p in parts]
-    return reduce(lambda a, b: a.join(b, "__key"), keyed).drop("__key")
+    """One-row tables with different columns side by side, without a join."""
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return stacked.agg(*[F.max(column(c)).alias(c) for c in stacked.columns])
 
 
 def nonfinite_count(df: DataFrame, features: Sequence[str]) -> DataFrame:
