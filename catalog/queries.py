@@ -262,7 +262,7 @@ def write_result_csv(t):
 
 @query
 def write_profile_json(t):
-    audit = enrich.node_match_audit(t.nodes(), matched_nodes(t))
+    audit = enrich.node_match_audit(t.nodes(), t.matched_nodes())
     return stores.enforce(audit, enrich.NODE_GATE, new_scratch_path(t.spark, "audit"))
 
 
@@ -441,7 +441,7 @@ def attach_node_aggregates(t):
     features = labels.prefixed_features(t.background_nodes())
     return enrich.attach_node_aggregates(
         t.feature_store().select("component_id", "label"),
-        enrich.aggregate_node_features(matched_nodes(t), features),
+        enrich.aggregate_node_features(t.matched_nodes(), features),
     )
 
 
@@ -450,7 +450,7 @@ def attach_edge_aggregates(t):
     features = labels.prefixed_features(t.background_edges())
     return enrich.attach_edge_aggregates(
         t.feature_store().select("component_id", "label"),
-        enrich.aggregate_edge_features(matched_edges(t), features),
+        enrich.aggregate_edge_features(t.matched_edges(), features),
     )
 
 
@@ -547,24 +547,24 @@ def simple_structural_features(t):
 @query
 def aggregate_node_features(t):
     features = labels.prefixed_features(t.background_nodes())
-    return enrich.aggregate_node_features(matched_nodes(t), features)
+    return enrich.aggregate_node_features(t.matched_nodes(), features)
 
 
 @query
 def aggregate_edge_features(t):
     features = labels.prefixed_features(t.background_edges())
-    return enrich.aggregate_edge_features(matched_edges(t), features)
+    return enrich.aggregate_edge_features(t.matched_edges(), features)
 
 
 @query
 def node_match_audit(t):
-    return enrich.node_match_audit(t.nodes(), matched_nodes(t))
+    return enrich.node_match_audit(t.nodes(), t.matched_nodes())
 
 
 @query
 def edge_match_audit(t):
     return enrich.edge_match_audit(
-        enrich.edge_source_component(t.clean_edges(), t.nodes()), matched_edges(t)
+        enrich.edge_source_component(t.clean_edges(), t.nodes()), t.matched_edges()
     )
 
 

@@ -10,6 +10,7 @@ free to drop background rows early and adaptive execution free to split a hot ke
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +23,10 @@ BROADCAST_ROWS = 4_000_000
 NODE_KEY = ("node_id",)
 EDGE_KEY = ("source_node_id", "target_node_id", "transaction_id")
 
+# Four statistics take seven aggregation columns; beyond 100 columns Spark leaves its
+# whole-stage code, which made one 172-column aggregation 1.6 times slower.
+FEATURES_PER_PASS = 11
+
 # The four statistics of each feature.
 STATISTICS = (("mean", F.avg), ("sd", F.stddev_pop), ("min", F.min), ("max", F.max))
 
@@ -84,16 +89,30 @@ def feature_statistics(features: Sequence[str], prefix: str) -> list[Column]:
     ]
 
 
+def _aggregate(matched: DataFrame, features: Sequence[str], prefix: str, count: str) -> DataFrame:
+    """All statistics per component, at most ``FEATURES_PER_PASS`` features at a time.
+
+    Each pass reads its own columns of the matched table and leaves its result partitioned
+    by component, so putting the passes together moves no row.
+    """
+    rows = matched.filter("component_id IS NOT NULL")
+    statistics = feature_statistics(features, prefix)
+    width = FEATURES_PER_PASS * len(STATISTICS)
+    passes = []
+    for start in range(0, max(len(statistics), 1), width):
+        counter = [F.count(F.lit(1)).alias(count)] if start == 0 else []
+        passes.append(rows.groupBy("component_id").agg(*counter, *statistics[start : start + width]))
+    return reduce(lambda a, b: a.join(b, "component_id"), passes)
+
+
 def aggregate_node_features(matched: DataFrame, features: Sequence[str]) -> DataFrame:
-    return matched.groupBy("component_id").agg(
-        F.count(F.lit(1)).alias("matched_node_count"), *feature_statistics(features, "node_feat")
-    )
+    """``matched_node_count`` and the feature statistics; pass a written matched table."""
+    return _aggregate(matched, features, "node_feat", "matched_node_count")
 
 
 def aggregate_edge_features(matched: DataFrame, features: Sequence[str]) -> DataFrame:
-    return matched.groupBy("component_id").agg(
-        F.count(F.lit(1)).alias("matched_edge_count"), *feature_statistics(features, "edge_feat")
-    )
+    """``matched_edge_count`` and the feature statistics; pass a written matched table."""
+    return _aggregate(matched, features, "edge_feat", "matched_edge_count")
 
 
 def attach_node_aggregates(store: DataFrame, aggregates: DataFrame) -> DataFrame:

@@ -174,6 +174,23 @@ class SampleTables:
         )
         return tied.unionByName(separating)
 
+    # Matched background rows: written once, read by the audits and every aggregation pass.
+
+    def matched_nodes(self) -> DataFrame:
+        features = prefixed_features(self.background_nodes(), expected=NODE_FEATURES)
+        return self._staged(
+            "matched_nodes",
+            lambda: enrich.match_node_features(self.background_nodes(), self.nodes(), features),
+        )
+
+    def matched_edges(self) -> DataFrame:
+        features = prefixed_features(self.background_edges(), expected=SAMPLE_EDGE_FEATURES)
+        keys = enrich.edge_source_component(self.clean_edges(), self.nodes())
+        return self._staged(
+            "matched_edges",
+            lambda: enrich.match_edge_features(self.background_edges(), keys, features),
+        )
+
     # Stores.
 
     def feature_store(self) -> DataFrame:
@@ -188,21 +205,14 @@ class SampleTables:
         return self._staged("node_store", self._node_store)
 
     def _node_store(self) -> DataFrame:
-        background = self.background_nodes()
-        features = prefixed_features(background, expected=NODE_FEATURES)
-        matched = enrich.match_node_features(background, self.nodes(), features)
-        return enrich.attach_node_aggregates(
-            self.feature_store(), enrich.aggregate_node_features(matched, features)
-        )
+        matched = self.matched_nodes()
+        aggregates = enrich.aggregate_node_features(matched, prefixed_features(matched))
+        return enrich.attach_node_aggregates(self.feature_store(), aggregates)
 
     def node_edge_store(self) -> DataFrame:
         return self._staged("node_edge_store", self._node_edge_store)
 
     def _node_edge_store(self) -> DataFrame:
-        background = self.background_edges()
-        features = prefixed_features(background, expected=SAMPLE_EDGE_FEATURES)
-        labelled = enrich.edge_source_component(self.clean_edges(), self.nodes())
-        matched = enrich.match_edge_features(background, labelled, features)
-        return enrich.attach_edge_aggregates(
-            self.node_store(), enrich.aggregate_edge_features(matched, features)
-        )
+        matched = self.matched_edges()
+        aggregates = enrich.aggregate_edge_features(matched, prefixed_features(matched))
+        return enrich.attach_edge_aggregates(self.node_store(), aggregates)
