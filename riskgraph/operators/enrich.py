@@ -32,8 +32,8 @@ STATISTICS = (("mean", F.avg), ("sd", F.stddev_pop), ("min", F.min), ("max", F.m
 
 
 def within_broadcast_size(keys: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
-    """Count at most ``limit + 1`` keys; the large side is not touched."""
-    return keys.limit(limit + 1).count() <= limit
+    """Count the keys; the large side is not touched."""
+    return keys.count() <= limit
 
 
 def _fetch(background: DataFrame, keys: DataFrame, on: Sequence[str], limit: int) -> DataFrame:

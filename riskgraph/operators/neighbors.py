@@ -74,31 +74,42 @@ def graph_dataset_profile(
 GRAPH_GATE = ("hard_failures", "dropped_edge_rows")
 
 
-def neighbor_mean(
-    nodes: DataFrame, edges: DataFrame, features: Sequence[str], reverse: bool = False, prefix: str = "in_"
+def _received_means(
+    nodes: DataFrame, edges: DataFrame, features: Sequence[str], reverse: bool, prefix: str
 ) -> DataFrame:
-    """Per node, the mean of its in-neighbours' features (out-neighbours when ``reverse``).
-
-    A parallel edge counts its source again; a node without neighbours gets 0. Means are
-    combined before the shuffle, so a hub costs one row per task.
-    """
+    """``node_id`` and the mean features of its senders, for nodes that have any."""
     sender, receiver = "source_node_id", "target_node_id"
     if reverse:
         sender, receiver = receiver, sender
     sent = edges.select(F.col(sender).alias("node_id"), F.col(receiver).alias("receiver")).join(
         nodes.select("node_id", *features), "node_id"
     )
-    means = sent.groupBy(F.col("receiver").alias("node_id")).agg(
+    return sent.groupBy(F.col("receiver").alias("node_id")).agg(
         *[F.avg(f).alias(f"{prefix}{f}") for f in features]
     )
-    joined = nodes.select("node_id", "component_id").join(means, "node_id", "left")
+
+
+def _with_means(nodes: DataFrame, means: Sequence[DataFrame]) -> DataFrame:
+    """Nodes with their received means, 0 where a node received nothing."""
+    joined = reduce(lambda a, b: a.join(b, "node_id", "left"), means, nodes)
+    added = [c for df in means for c in df.columns if c != "node_id"]
     return joined.select(
-        "node_id",
-        "component_id",
-        *[F.coalesce(f"{prefix}{f}", F.lit(0.0)).alias(f"{prefix}{f}") for f in features],
+        *nodes.columns, *[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in added]
     )
 
 
+def neighbor_mean(
+    nodes: DataFrame, edges: DataFrame, features: Sequence[str], reverse: bool = False, prefix: str = "in_"
+) -> DataFrame:
+    """Per node, the mean of its in-neighbours' features (out-neighbours when ``reverse``).
+
+    A parallel edge counts its source again; a node without neighbours gets 0. Means are
+    combined before the shuffle, so a hub costs one row per task.
+    """
+    means = _received_means(nodes, edges, features, reverse, prefix)
+    return _with_means(nodes.select("node_id", "component_id"), [means])
+
+
 def khop_dual_channel(
     nodes: DataFrame, edges: DataFrame, features: Sequence[str], layers: int = 2
 ) -> DataFrame:
@@ -111,11 +122,9 @@ def khop_dual_channel(
         raise ValueError("layers must be at least 1")
     current, names = nodes.select("node_id", "component_id", *features), list(features)
     for hop in range(1, layers + 1):
-        forward = neighbor_mean(current, edges, names, False, f"in{hop}_").drop("component_id")
-        backward = neighbor_mean(current, edges, names, True, f"out{hop}_").drop("component_id")
-        current = materialize(
-            current.join(forward, "node_id", "left").join(backward, "node_id", "left"), "hop"
-        )
+        forward = _received_means(current, edges, names, False, f"in{hop}_")
+        backward = _received_means(current, edges, names, True, f"out{hop}_")
+        current = materialize(_with_means(current, [forward, backward]), "hop")
         names = [c for c in current.columns if c not in ("node_id", "component_id")]
     return current
 

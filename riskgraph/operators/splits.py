@@ -45,14 +45,24 @@ def class_quotas(store: DataFrame, fraction: float) -> DataFrame:
 def stratified_split(
     store: DataFrame, fraction: float = 0.20, seed: int = 42, part: str = "is_test"
 ) -> DataFrame:
-    """``store`` with a boolean column that marks the held-out rows."""
+    """``store`` with a boolean column that marks the held-out rows.
+
+    Only ids and labels are ordered, to find the last held-out row of each class. Those cut
+    points (one per class) then mark the rows in place: a store with hundreds of columns is
+    neither shuffled nor written.
+    """
     ids = store.select("component_id", "label").withColumn("__order", hash_order(seed))
     ranked = global_rank(ids, [F.col("__order").asc(), F.col("component_id").asc()], ["label"], "__rank")
     # One quota row per label value: the labels are 0 and 1.
-    marked = ranked.join(F.broadcast(class_quotas(ids, fraction)), "label").select(
-        "component_id", (F.col("__rank") <= F.col("quota")).alias(part)
-    )
-    return store.join(marked, "component_id")
+    quotas = F.broadcast(class_quotas(ids, fraction))
+    cuts = ranked.join(quotas, "label").filter(F.col("__rank") == F.col("quota")).collect()
+    order, held = hash_order(seed), F.lit(False)
+    for cut in cuts:
+        before = (order < cut["__order"]) | (
+            (order == cut["__order"]) & (F.col("component_id") <= F.lit(cut.component_id))
+        )
+        held = F.when(F.col("label") == cut.label, before).otherwise(held)
+    return store.withColumn(part, held)
 
 
 def three_way_split(
@@ -61,15 +71,12 @@ def three_way_split(
     """``part``: test rows first, then calibration rows out of the rest with the next seed."""
     outer = stratified_split(store, test, seed)
     inner = stratified_split(outer.filter("NOT is_test"), calibration, seed + 1, "is_calibration")
+    part = F.when(F.col("is_calibration"), "calibration").otherwise("train")
     return (
         outer.filter("is_test")
         .withColumn("part", F.lit("test"))
+        .unionByName(inner.withColumn("part", part).drop("is_calibration"))
         .drop("is_test")
-        .unionByName(
-            inner.withColumn(
-                "part", F.when(F.col("is_calibration"), "calibration").otherwise("train")
-            ).drop("is_test", "is_calibration")
-        )
     )
 
 
