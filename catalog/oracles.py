@@ -577,7 +577,7 @@ FROM raw_cc"""
     made["valid_edges"] = "SELECT component_id, source_node_id, target_node_id, transaction_id FROM valid"
     made["rename_feature_columns"] = (
         "SELECT clId, "
-        + ", ".join(num(f'"{f}"', f"node_feat_{i:02d}") for i, f in enumerate(NODE_NAMES, 1))
+        + ", ".join(f'"{f}" AS node_feat_{i:02d}' for i, f in enumerate(NODE_NAMES, 1))
         + " FROM bg_nodes"
     )
     made["zero_fill"] = """SELECT component_id, label, coalesce(edge_count, 0) AS edge_count,
@@ -618,9 +618,12 @@ FROM scores GROUP BY model"""
     )
     made["node_degree"] = "SELECT component_id, node_id, in_degree, out_degree, total_degree FROM degrees"
     made["assemble_component_store"] = made["write_store"]
-    made["match_node_features"] = f"SELECT component_id, node_id, {nums(*NODE_NAMES)} FROM matched_nodes"
+    as_is = ", ".join(f'"{f}"' for f in NODE_NAMES)
+    made["match_node_features"] = f"SELECT component_id, node_id, {as_is} FROM matched_nodes"
     made["match_edge_features"] = (
-        f"SELECT component_id, source_node_id, target_node_id, transaction_id, {nums(*EDGE_NAMES)} FROM matched_edges"
+        "SELECT component_id, source_node_id, target_node_id, transaction_id, "
+        + ", ".join(f'"{f}"' for f in EDGE_NAMES)
+        + " FROM matched_edges"
     )
     made["edge_source_component"] = (
         "SELECT source_node_id, target_node_id, transaction_id, component_id FROM mapped"

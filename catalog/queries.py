@@ -43,11 +43,16 @@ REGISTRY: dict[str, Query] = {}
 _FITS: dict[tuple[str, str, str], object] = {}
 
 
+# Queries that only pass values on: nothing is summed, so nothing is rounded.
+EXACT = ("match_node_features", "match_edge_features", "rename_feature_columns")
+
+
 def query(build: Callable[[SampleTables], DataFrame]) -> Callable[[SampleTables], DataFrame]:
     """Register ``build`` under its name."""
 
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        return rounded(build(SampleTables(spark, folder)))
+        df = build(SampleTables(spark, folder))
+        return df if build.__name__ in EXACT else rounded(df)
 
     REGISTRY[build.__name__] = run
     return build
