@@ -116,7 +116,7 @@ class SampleTables:
             F.lit(1.0).alias(f"feat#{NODE_FEATURES}"),
         )
         # Spread the narrow ids, not the wide rows: a small folder is one file, so one task.
-        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        parts = self.spark.sparkContext.defaultParallelism
         orders = (
             self._read("orders")
             .select(F.col("o_orderkey").alias("clId"), (F.col("o_orderkey") % size).alias("vec_id"))
