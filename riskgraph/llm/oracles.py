@@ -140,5 +140,6 @@ ORACLES: dict[str, str] = {
     "op2_secret_scan": secrets_sql(),
     "op6_url_filter": URL_SQL,
     "op8_line_dedup": LINES_SQL,
+    "op9_substring_dedup": REPEATS_SQL,
     "op10_benchmark_decontamination": BENCHMARK_SQL,
 }
