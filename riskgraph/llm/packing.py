@@ -218,11 +218,13 @@ def pack(
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
+    ids: bool = True,
 ) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids (list of its ids), ids_crc32, doc_tokens, sequence_id, offset.
+    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    ``definition`` is the tokenizer's JSON. ``targets`` gives weights of sources; without it
-    every window has the proportions of the whole corpus.
+    With ``ids`` a piece also carries its token ids. ``definition`` is the tokenizer's JSON.
+    ``targets`` gives weights of sources; without it every window has the proportions of the
+    whole corpus.
     """
     spark = docs.sparkSession
     tokens = materialize(tokenized(docs, definition, id_col, text_col, source_col), "tokens")
@@ -246,11 +248,13 @@ def pack(
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for (_, queue), part in batch.groupby(["block", "queue"], sort=False):
-                yield pieces(part.sort_values("at"), int(queue), schedule)
+                out = pieces(part.sort_values("at"), int(queue), schedule)
+                yield out if ids else out.drop(columns="ids")
 
     return rows.mapInPandas(
         cut,
-        f"doc_id {kind}, start long, length long, ids array<int>, ids_crc32 long, doc_tokens long, sequence_id long, offset long",
+        f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+        + ", ids array<int>" * ids,
     )
 
 
@@ -278,10 +282,10 @@ def pieces(part: pd.DataFrame, queue: int, schedule: Schedule) -> pd.DataFrame:
             "doc_id": part["doc_id"].to_numpy()[owner],
             "start": lo,
             "length": hi - lo,
-            "ids": [p.astype(np.int32) for p in parts],
             "ids_crc32": [zlib.crc32(p.tobytes()) for p in parts],
             "doc_tokens": sizes[owner],
             "sequence_id": np.append(k, k[-1] + 1)[row],
             "offset": ahead + starts - mine[row],
+            "ids": [p.view(np.int32) for p in parts],
         }
     )

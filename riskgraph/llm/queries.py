@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskgraph.llm import decontaminate, lines, secret_scan, simhash, substrings, url_rules
+from riskgraph.llm import (
+    decontaminate, divergence, lines, packing, personal, quality, secret_scan, simhash, substrings, url_rules,
+)
 from riskgraph.llm.oracles import ORACLES  # noqa: F401
 
+TOKENIZER = "word_bpe_49k.json"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 # The rules of the URL query (fixed values): host, path, verdict.
@@ -31,6 +35,10 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def count_of(kind: str) -> Column:
+    return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+
+
 @query
 def op1_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents").select("doc_id", "text"))
@@ -38,28 +46,61 @@ def op1_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def op2_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
-    found = secret_scan.scan(table(spark, folder, "documents"))
-
-    def count(kind):
-        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
-
+    found = secret_scan.scan(table(spark, folder, "documents").select("doc_id", "text"))
     base = F.filter("spans", lambda s: s["order"] < len(secret_scan.BASE_RULES))
     return found.select(
         "doc_id",
-        count("assign").alias("n_assign"),
-        count("access").alias("n_access"),
-        count("hex").alias("n_hex"),
+        count_of("assign").alias("n_assign"),
+        count_of("access").alias("n_access"),
+        count_of("hex").alias("n_hex"),
         F.sha2(secret_scan.listing(base), 256).alias("base_sha256"),
         secret_scan.listing(F.col("spans")).alias("spans"),
     )
 
 
+@query
+def op3_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return quality.scores(docs, table(spark, folder, "labels"))
+
+
+@query
+def op4_pii(spark: SparkSession, folder: str) -> DataFrame:
+    found = personal.scan(table(spark, folder, "documents").select("doc_id", "text"))
+    base = F.filter("spans", lambda s: s["kind"].isin(*personal.BASE_KINDS))
+    return found.select(
+        "doc_id",
+        *[count_of(kind).alias(f"n_{kind}") for kind in personal.BASE_KINDS],
+        F.sha2(personal.listing(base), 256).alias("base_sha256"),
+        personal.listing(F.col("spans")).alias("spans"),
+    )
+
+
+@query
+def op5_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    return divergence.judge(docs).drop("class_distance", "common_distance")
+
+
 @query
 def op6_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     rules = spark.createDataFrame(list(URL_RULES), "host string, path string, verdict string")
     return url_rules.judge(table(spark, folder, "pages").select("page_id", "url"), rules)
 
 
+def tokenizer_definition(name: str = TOKENIZER) -> str:
+    """JSON of an installed public tokenizer, read on the driver and shipped to the tasks."""
+    import public_tokenizers
+
+    return Path(public_tokenizers.path(name)).read_text()
+
+
+@query
+def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "source")
+    return packing.pack(docs, tokenizer_definition(), ids=False)
+
+
 @query
 def op8_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text", "source")
