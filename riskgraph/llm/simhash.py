@@ -35,17 +35,19 @@ SEED = 42
 MAX_BITS = 3
 SEGMENT = 32
 # Shingles whose bits are unpacked at once, and fingerprints of a key compared directly.
-UNPACKED = 400_000
+UNPACKED = 200_000
 COMPARED = 4096
+# Bytes of text whose shingle hashes are held at once.
+BATCH_CHARS = 2_000_000
 
 
-def shingle_hashes(text: bytes, shingle: int = SHINGLE) -> list[int]:
+def shingle_hashes(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
     words = text.lower().split()
     if len(words) < shingle:
-        return [xxhash.xxh64_intdigest(b" ".join(words), SEED)] if words else []
-    rows = zip(*[words[i:] for i in range(shingle)], strict=False)
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words), SEED)] if words else [], np.uint64)
+    rows = map(b" ".join, zip(*[words[i:] for i in range(shingle)], strict=False))
     digest = xxhash.xxh64_intdigest
-    return [digest(row, SEED) for row in map(b" ".join, rows)]
+    return np.fromiter((digest(row, SEED) for row in rows), np.uint64, len(words) - shingle + 1)
 
 
 def majority_bits(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -75,10 +77,11 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def compute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            groups = [shingle_hashes(text) for text in batch["text"]]
-            sizes = np.fromiter(map(len, groups), np.int64, len(groups))
-            flat = np.fromiter((h for g in groups for h in g), np.uint64, int(sizes.sum()))
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "fingerprint": majority_bits(flat, sizes)})
+            for _, part in batch.groupby(batch["text"].map(len).cumsum() // BATCH_CHARS, sort=False):
+                groups = [shingle_hashes(text) for text in part["text"]]
+                sizes = np.fromiter(map(len, groups), np.int64, len(groups))
+                bits = majority_bits(np.concatenate(groups), sizes)
+                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "fingerprint": bits})
 
     rows = docs.select(F.col(id_col).alias("doc_id"), whole(F.col(text_col)).cast("binary").alias("text"))
     return rows.mapInPandas(compute, f"doc_id {kind}, fingerprint long")
