@@ -70,24 +70,24 @@ class WordTokenizer:
     def learn(self, words: list[bytes]) -> None:
         plain = [w for w in words if w.isascii() and b"<|" not in w]
         other = [w for w in words if not (w.isascii() and b"<|" not in w)]
-        ids: list[np.ndarray] = []
         texts = [
             f" {self.sign} ".join(w.decode().lower() for w in plain[i : i + 2000]) for i in range(0, len(plain), 2000)
         ]
+        parts, sizes = [], []
         for found in self.plain.encode_batch_fast(texts, add_special_tokens=False):
             row = np.array(found.ids, np.uint32)
-            cuts = np.flatnonzero(row == self.sign_id)
-            ids += [part[1:] if i else part for i, part in enumerate(np.split(row, cuts))]
-        ids += [
-            np.array(found.ids, np.uint32)
-            for found in self.full.encode_batch_fast([w.decode() for w in other], add_special_tokens=False)
-        ]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+            signs = np.flatnonzero(row == self.sign_id)
+            sizes.append(np.diff(np.concatenate(([-1], signs, [len(row)]))) - 1)
+            parts.append(np.delete(row, signs))
+        for found in self.full.encode_batch_fast([w.decode() for w in other], add_special_tokens=False):
+            parts.append(np.array(found.ids, np.uint32))
+            sizes.append([len(parts[-1])])
+        sizes = np.concatenate([np.zeros(0, np.int64), *sizes])
         for word in plain + other:
             self.place[word] = len(self.place)
         self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
         self.sizes = np.concatenate([self.sizes, sizes])
-        self.flat = np.concatenate([self.flat, *ids])
+        self.flat = np.concatenate([self.flat, *parts])
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """Ids of every text with the end token after them."""
