@@ -32,7 +32,7 @@ import numpy as np
 import pandas as pd
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskgraph.llm.columns import same, text_key, whole
@@ -40,8 +40,8 @@ from riskgraph.llm.columns import same, text_key, whole
 WINDOW = 13
 ANCHOR = 3
 # Characters of text that a task settles at once, and that a group receives.
-BATCH_CHARS = 12_000_000
-GROUP_CHARS = 8_000_000
+BATCH_CHARS = 8_000_000
+GROUP_CHARS = 6_000_000
 NO_ID = -(2**63)
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -122,14 +122,18 @@ def runs_of(flags: np.ndarray, *breaks: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def pack(docs, keys, starts, sizes, text: bytes = b"") -> bytes:
-    meta = np.stack([np.asarray(x, np.int64) for x in (docs, keys, starts, sizes)])
-    return len(docs).to_bytes(8, "little") + zstandard.compress(meta.tobytes() + text, 3)
+    """Rows ascend by document within a task batch, so ids travel as differences, byte by byte place."""
+    meta = np.stack([np.diff(np.asarray(docs, np.int64), prepend=np.int64(0)), keys, starts, sizes])
+    places = np.ascontiguousarray(meta.astype("<i8").view(np.uint8).reshape(4, -1, 8).transpose(0, 2, 1))
+    return len(docs).to_bytes(8, "little") + zstandard.compress(places.tobytes() + text, 3)
 
 
 def unpack(blob: bytes) -> tuple[np.ndarray, bytes]:
     n = int.from_bytes(blob[:8], "little")
     raw = zstandard.decompress(blob[8:])
-    return np.frombuffer(raw[: 32 * n], np.int64).reshape(4, n), raw[32 * n :]
+    places = np.frombuffer(raw[: 32 * n], np.uint8).reshape(4, 8, n).transpose(0, 2, 1)
+    meta = np.ascontiguousarray(places).view("<i8").reshape(4, n)
+    return np.concatenate([np.cumsum(meta[:1], axis=1), meta[1:]]), raw[32 * n :]
 
 
 def stretches(ids: list[int], keys: list[int], texts: list[bytes], groups: int, window: int) -> Iterator[tuple]:
@@ -199,11 +203,16 @@ def group_repeats(blobs: list[bytes], window: int) -> tuple[np.ndarray, ...]:
     return docs[owner[s]], keys[owner[s]], starts[owner[s]] + s - first[s], n
 
 
+def short_key(text_col: str) -> Column:
+    """32 bits of the text key: enough to tell a few texts of one id apart, and half to move."""
+    return text_key(F.col(text_col)).bitwiseAND(F.lit(2**32 - 1).cast("long"))
+
+
 def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """doc_id (smallest long for null), text_key, start, length: word runs to remove; they may overlap."""
     rows = docs.select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"),
-        text_key(F.col(text_col)).alias("text_key"),
+        short_key(text_col).alias("text_key"),
         whole(F.col(text_col)).cast("binary").alias("text"),
     )
     total = docs.agg(F.sum(F.octet_length(whole(F.col(text_col))))).first()[0] or 0
@@ -275,7 +284,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         .select(F.col("doc_id").alias("__cut_id"), F.col("text_key").alias("__cut_key"), "__runs")
     )
     keyed = docs.withColumns(
-        {"__id": F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), "__key": text_key(F.col(text_col))}
+        {"__id": F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), "__key": short_key(text_col)}
     )
     joined = keyed.join(cut, same(keyed, cut, {"__id": "__cut_id", "__key": "__cut_key"}), "left")
 
