@@ -24,6 +24,18 @@ def text_key(text: Column) -> Column:
     return F.xxhash64(whole(text))
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names with as many underscores in front as it takes to be new to ``df``."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast ``df`` if a count shows that it has at most ``rows`` rows."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

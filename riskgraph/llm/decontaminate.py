@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskgraph.llm.columns import broadcast_if_small, lower_ascii, same, text_key, whole
+from riskgraph.llm.columns import broadcast_if_small, fresh, lower_ascii, same, text_key, whole
 from riskgraph.session import materialize
 
 WINDOW = 10
@@ -218,7 +218,7 @@ def drop_contaminated(
 ) -> DataFrame:
     """``docs`` without the rows in which a benchmark window occurs; all columns stay."""
     index, plan = prepare(docs, benchmark, id_col, text_col, window)
-    hits = phrase_matches(index, plan).select(F.col("doc_id").alias("__hit_id"), F.col("text_key").alias("__hit_key")).distinct()
-    keyed = docs.withColumn("__text_key", text_key(F.col(text_col)))
-    condition = keyed[id_col].eqNullSafe(hits["__hit_id"]) & (keyed["__text_key"] == hits["__hit_key"])
-    return keyed.join(hits, condition, "left_anti").select(*[docs[c] for c in docs.columns])
+    key, hit_id, hit_key = fresh(docs, "key", "hit_id", "hit_key")
+    hits = phrase_matches(index, plan).select(F.col("doc_id").alias(hit_id), F.col("text_key").alias(hit_key)).distinct()
+    keyed = docs.withColumn(key, text_key(F.col(text_col)))
+    return keyed.join(hits, same(keyed, hits, {id_col: hit_id, key: hit_key}), "left_anti").drop(key)

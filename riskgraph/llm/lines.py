@@ -20,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskgraph.llm.columns import same, text_key, whole
+from riskgraph.llm.columns import fresh, same, text_key, whole
 from riskgraph.session import materialize
 
 MIN_SITES = 5
@@ -107,18 +107,19 @@ def remove_boilerplate(
 ) -> DataFrame:
     """``docs`` with boilerplate lines cut from the text; counts where columns are named."""
     lines = materialize(line_table(docs, id_col, text_col, site_col), "lines")
+    key, cut_id, cut_key, gone = fresh(docs, "key", "cut_id", "cut_key", "gone")
     cut = removals(lines, materialize(spread(lines, min_sites), "widespread")).select(
-        F.col("doc_id").alias("__cut_id"), F.col("text_key").alias("__cut_key"), F.col("lines").alias("__cut")
+        F.col("doc_id").alias(cut_id), F.col("text_key").alias(cut_key), F.col("lines").alias(gone)
     )
-    keyed = docs.withColumn("__key", text_key(F.col(text_col)))
-    joined = keyed.join(cut, same(keyed, cut, {id_col: "__cut_id", "__key": "__cut_key"}), "left")
+    keyed = docs.withColumn(key, text_key(F.col(text_col)))
+    joined = keyed.join(cut, same(keyed, cut, {id_col: cut_id, key: cut_key}), "left")
     pieces = F.split(whole(keyed[text_col]), "\n", -1)
-    text = F.when(F.col("__cut").isNull(), keyed[text_col]).otherwise(
-        F.array_join(kept_lines(pieces, F.col("__cut")), "\n")
+    text = F.when(F.col(gone).isNull(), keyed[text_col]).otherwise(
+        F.array_join(kept_lines(pieces, F.col(gone)), "\n")
     )
     counts = []
     if n_lines:
         counts.append(F.size(pieces).cast("long").alias(n_lines))
     if n_removed:
-        counts.append(F.coalesce(F.size("__cut"), F.lit(0)).cast("long").alias(n_removed))
+        counts.append(F.coalesce(F.size(gone), F.lit(0)).cast("long").alias(n_removed))
     return joined.select(*[text.alias(c) if c == text_col else keyed[c] for c in docs.columns], *counts)

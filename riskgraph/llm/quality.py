@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskgraph.llm.columns import whole
+from riskgraph.llm.columns import fresh, whole
 from riskgraph.session import materialize
 
 PLACES = 16_384
@@ -241,12 +241,13 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
 
     Of rows that repeat an id all stay if one is accepted; rows without an id always stay.
     """
+    (name,) = fresh(docs, "rejected")
     rejected = (
         scores(docs.select(id_col, text_col), labels, id_col, text_col)
         .filter(F.col("doc_id").isNotNull())
         .groupBy("doc_id")
         .agg(F.max("predicted").alias("kept"))
         .filter("kept = 0")
-        .select(F.col("doc_id").alias("__rejected"))
+        .select(F.col("doc_id").alias(name))
     )
-    return docs.join(rejected, docs[id_col] == rejected["__rejected"], "left_anti")
+    return docs.join(rejected, docs[id_col] == rejected[name], "left_anti")

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskgraph.llm.columns import whole
+from riskgraph.llm.columns import fresh, whole
 from riskgraph.llm.graph import components
 from riskgraph.session import materialize
 
@@ -189,7 +189,8 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     Rows that repeat this id all stay; so do rows without an id.
     """
+    (name,) = fresh(docs, "kept")
     found = near_duplicates(docs.select(id_col, text_col), id_col, text_col)
-    kept = found.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__kept")).distinct()
-    with_id = docs.join(kept, docs[id_col] == kept["__kept"], "left_semi")
+    kept = found.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(name)).distinct()
+    with_id = docs.join(kept, docs[id_col] == kept[name], "left_semi")
     return with_id.union(docs.filter(docs[id_col].isNull()))

@@ -35,13 +35,13 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskgraph.llm.columns import same, text_key, whole
+from riskgraph.llm.columns import fresh, same, text_key, whole
 
 WINDOW = 13
 ANCHOR = 3
 # Characters of text that a task settles at once, and that a group receives.
-BATCH_CHARS = 8_000_000
-GROUP_CHARS = 6_000_000
+BATCH_CHARS = 6_000_000
+GROUP_CHARS = 4_000_000
 NO_ID = -(2**63)
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -271,22 +271,28 @@ def covered(n: int, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.cumsum(marks[:n]) > 0
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """``docs`` with n_words, n_removed and, as text, the words that stay, joined by one space.
+def remove_repeats(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    window: int = WINDOW,
+    n_words: str = "n_words",
+    n_removed: str = "n_removed",
+) -> DataFrame:
+    """``docs`` with, as text, the words that stay, joined by one space, and two counts under new names.
 
     A text without words becomes empty; a null text stays null.
     """
     runs = find_repeats(docs, id_col, text_col, window)
     packed = F.shiftleft(F.col("start"), 31).bitwiseOR(F.col("length"))
+    own_id, key, cut_id, cut_key, gone, kept_col = fresh(docs, "own_id", "key", "cut_id", "cut_key", "gone", "kept")
     cut = (
         runs.groupBy("doc_id", "text_key")
-        .agg(F.collect_list(packed).alias("__runs"))
-        .select(F.col("doc_id").alias("__cut_id"), F.col("text_key").alias("__cut_key"), "__runs")
+        .agg(F.collect_list(packed).alias(gone))
+        .select(F.col("doc_id").alias(cut_id), F.col("text_key").alias(cut_key), gone)
     )
-    keyed = docs.withColumns(
-        {"__id": F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), "__key": short_key(text_col)}
-    )
-    joined = keyed.join(cut, same(keyed, cut, {"__id": "__cut_id", "__key": "__cut_key"}), "left")
+    keyed = docs.withColumns({own_id: F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), key: short_key(text_col)})
+    joined = keyed.join(cut, same(keyed, cut, {own_id: cut_id, key: cut_key}), "left")
 
     @F.pandas_udf("struct<text string, n_words long, n_removed long>")
     def kept(texts: pd.Series, runs: pd.Series) -> pd.DataFrame:
@@ -302,10 +308,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             out.append((None if text is None else b" ".join(stays).decode(), len(words), len(words) - len(stays)))
         return pd.DataFrame(out, columns=["text", "n_words", "n_removed"])
 
-    result = joined.withColumn("__kept", kept(keyed[text_col], F.col("__runs")))
+    result = joined.withColumn(kept_col, kept(keyed[text_col], F.col(gone)))
+    found = F.col(kept_col)
     return result.select(
-        *[F.col("__kept.text").alias(c) if c == text_col else keyed[c] for c in docs.columns],
-        F.col("__kept.n_words").alias("n_words"),
-        F.col("__kept.n_removed").alias("n_removed"),
+        *[found["text"].alias(c) if c == text_col else keyed[c] for c in docs.columns],
+        found["n_words"].alias(n_words),
+        found["n_removed"].alias(n_removed),
     )
-
