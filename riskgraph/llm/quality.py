@@ -7,8 +7,8 @@ the vocabulary; tasks add up their part, parts are added by table slice. A docum
 mean of its words' vectors. A two-layer network in numpy is fitted on labelled documents,
 and one temperature, found on rows kept out of the fit, calibrates its probabilities.
 
-The only bound: the fit takes at most FIT_ROWS labelled documents, those with the smallest
-hash of their id. Word vectors cover all documents, and all documents are scored.
+The only bound: the fit takes at most FIT_ROWS labelled documents, about as many as that with
+the smallest hash of their id. Word vectors cover all documents, and all documents are scored.
 
 Null text counts as empty; an empty text has the zero vector and gets a score like any other.
 Null ids are scored, but never labelled. Rows that repeat an id are scored each. Labels with
@@ -213,14 +213,17 @@ def scores(
     texts = docs.select(whole(F.col(text_col)).cast("binary").alias("text"))
     rows = materialize(pooled(docs, word_vectors(texts), id_col, text_col), "pooled")
     known = labels.filter(F.col("quality").isNotNull()).select(F.col("doc_id").alias("labelled"), "quality")
-    sample = (
+    usable = materialize(
         rows.filter(~held_out(F.col("doc_id")))
         .join(known, F.col("doc_id") == F.col("labelled"))
-        .select("vector", "quality", "doc_id")
-        .orderBy(F.xxhash64("doc_id"), "doc_id", "quality")
-        .limit(fit_rows)
-        .collect()
+        .select("vector", "quality", F.xxhash64("doc_id").alias("place")),
+        "labelled",
     )
+    # The smallest hashes: a cut in the range of hashes, set by the count, bounds what is collected.
+    share = min(1.0, 0.98 * fit_rows / max(1, usable.count()))
+    cut = int(-(2**63) + share * 2**64) if share < 1 else 2**63 - 1
+    sample = sorted(usable.filter(F.col("place") <= cut).collect(), key=lambda r: (r.place, bytes(r.vector), r.quality))
+    sample = sample[:fit_rows]
     x = np.frombuffer(b"".join(bytes(r.vector) for r in sample), np.float32).reshape(-1, DIMENSIONS)
     network = Network(x, np.array([r.quality for r in sample], float))
     kind = docs.schema[id_col].dataType.simpleString()
