@@ -463,7 +463,7 @@ def hop_block(nodes: str, features, reverse: bool, prefix: str) -> str:
     )
 
 
-_HOP_1 = list(GRAPH_FEATURES[:2])
+_HOP_1 = list(GRAPH_FEATURES)
 _HOP_2 = _HOP_1 + [f"in1_{f}" for f in _HOP_1] + [f"out1_{f}" for f in _HOP_1]
 _HOP_3 = _HOP_2 + [f"in2_{f}" for f in _HOP_2] + [f"out2_{f}" for f in _HOP_2]
 for _level, _base, _names in ((1, "graph_nodes", _HOP_1), (2, "hop_1", _HOP_2)):

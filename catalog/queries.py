@@ -34,9 +34,7 @@ EVIDENCE_FEATURES = (
     "avg_in_degree", "source_nodes", "sink_nodes", "isolate_nodes", "directed_density",
 )
 TOP_FEATURES = 6
-GRAPH_FEATURES = ("node_feat_01", "node_feat_02", "node_feat_03")
-# Trees of the repeated fits; the single fits use the full number.
-REPEAT_TREES = 100
+GRAPH_FEATURES = tuple(f"node_feat_{i:02d}" for i in range(1, 44))
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -81,7 +79,7 @@ def once(t: SampleTables, name: str, build: Callable[[], object]):
 
 
 def valid(t: SampleTables) -> DataFrame:
-    return linking.valid_edges(linking.edge_component_map(t.edges(), t.nodes()))
+    return once(t, "valid_edges", lambda: linking.written_valid_edges(t.edges(), t.nodes()))
 
 
 def pairs(t: SampleTables) -> DataFrame:
@@ -965,20 +963,20 @@ def feature_importance(t):
 
 @query
 def repeated_splits(t):
-    scored = models.repeated_splits(t.feature_store(), trees=REPEAT_TREES)
+    scored = models.repeated_splits(t.feature_store())
     return metrics.ranking_and_brier(scored, ("seed", "model"))
 
 
 @query
 def permutation_sanity(t):
-    return models.permutation_sanity(t.feature_store(), trees=REPEAT_TREES)
+    return models.permutation_sanity(t.feature_store())
 
 
 def _calibrated(t):
     return once(
         t,
         "calibrated",
-        lambda: materialize(models.calibration_scores(t.feature_store(), trees=REPEAT_TREES), "calibrated"),
+        lambda: materialize(models.calibration_scores(t.feature_store()), "calibrated"),
     )
 
 
@@ -1043,7 +1041,7 @@ def reverse_neighbor_mean(t):
 @query
 def khop_dual_channel(t):
     g = graph(t)
-    return neighbors.khop_dual_channel(g["nodes"], g["edges"], GRAPH_FEATURES[:2], 2)
+    return neighbors.khop_dual_channel(g["nodes"], g["edges"], GRAPH_FEATURES, 2)
 
 
 @query
@@ -1062,14 +1060,14 @@ def graph_feature_classifier(t):
 
 @query
 def structural_review_queue(t):
-    return runs.structural_review(t.components(), t.nodes(), t.edges(), trees=REPEAT_TREES).queue
+    return runs.structural_review(t.components(), t.nodes(), t.edges()).queue
 
 
 @query
 def canonical_review_queue(t):
     nodes, edges = canonical(t)
     kept = t.components().filter("label IS NOT NULL")
-    return runs.canonical_review(kept, nodes, edges, trees=REPEAT_TREES).queue
+    return runs.canonical_review(kept, nodes, edges).queue
 
 
 @query

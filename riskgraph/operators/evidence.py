@@ -181,9 +181,9 @@ def evidence_wide(cases: DataFrame, k: int = 3) -> DataFrame:
 
 
 def evidence_long(cases: DataFrame) -> DataFrame:
-    """One row per queued component and evidence rank."""
+    """One row per queued component and evidence rank; a case without evidence keeps one row, with NULLs."""
     kept = [c for c in QUEUE_METADATA if c in cases.columns]
-    rows = cases.select(*kept, F.posexplode("evidence").alias("at", "e"))
+    rows = cases.select(*kept, F.posexplode_outer("evidence").alias("at", "e"))
     return rows.select(
         *kept,
         (F.col("at") + 1).alias("evidence_rank"),

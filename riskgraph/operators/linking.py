@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskgraph.errors import IntegrityError
+from riskgraph.session import materialize
 
 
 def _by_source(nodes: DataFrame) -> DataFrame:
@@ -37,6 +38,16 @@ def valid_edges(mapped: DataFrame) -> DataFrame:
     return mapped.filter("component_id IS NOT NULL AND target_component_id = component_id")
 
 
+def written_valid_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The valid edges as a written table.
+
+    An aggregation straight on the join would need the join's partitioning, and adaptive
+    execution may then not split a node that ends a large share of all edges. A write needs
+    no partitioning, so both look-ups can be split, and each runs once.
+    """
+    return materialize(valid_edges(edge_component_map(edges, nodes)), "valid-edges")
+
+
 def missing_endpoints(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """One row: edges without a known source, and edges without a known target."""
     sources = edges.join(_by_source(nodes), "source_node_id", "left_anti")

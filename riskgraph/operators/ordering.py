@@ -44,6 +44,15 @@ def _before(group: Sequence[str]):
     return Window.partitionBy(*group).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
 
 
+def _with_offsets(blocks: DataFrame, offsets: DataFrame, group: Sequence[str]) -> DataFrame:
+    """Blocks with their offset row; a NULL group is a group like any other."""
+    named = offsets.withColumnsRenamed({c: f"__of_{c}" for c in (*group, BLOCK)})
+    condition = blocks[BLOCK] == named[f"__of_{BLOCK}"]
+    for c in group:
+        condition = condition & blocks[c].eqNullSafe(named[f"__of_{c}"])
+    return blocks.join(F.broadcast(named), condition).drop(*[f"__of_{c}" for c in (*group, BLOCK)])
+
+
 def global_rank(
     df: DataFrame,
     order: Sequence[Column],
@@ -54,7 +63,7 @@ def global_rank(
     """Row number 1..n per group, and the group size when ``total`` names a column.
 
     ``group`` holds few values (models, labels, features); ``order`` must be unique within
-    a group for the result to be repeatable.
+    a group for the result to be repeatable. A NULL group is ranked by itself.
     """
     blocks = frozen_blocks(df, order, group)
     spans = blocks.groupBy(*group, BLOCK).agg(
@@ -66,7 +75,7 @@ def global_rank(
         (F.coalesce(F.sum("__rows").over(_before(group)), F.lit(0)) + 1 - F.col("__first")).alias("__shift"),
         F.sum("__rows").over(Window.partitionBy(*group)).alias("__total"),
     )
-    ranked = blocks.join(F.broadcast(offsets), [*group, BLOCK]).withColumn(
+    ranked = _with_offsets(blocks, offsets, group).withColumn(
         rank, F.col(POSITION) + F.col("__shift")
     )
     if total:
@@ -96,7 +105,7 @@ def running_totals(
         .orderBy(POSITION)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    joined = blocks.join(F.broadcast(offsets), [*group, BLOCK])
+    joined = _with_offsets(blocks, offsets, group)
     for new, column in sums.items():
         joined = joined.withColumn(new, F.sum(column).over(inside) + F.col(f"__{new}"))
     return joined.drop(BLOCK, POSITION, *[f"__{new}" for new in sums])

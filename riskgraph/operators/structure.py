@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskgraph.operators.linking import edge_component_map, valid_edges
+from riskgraph.operators.linking import written_valid_edges
 
 # Order of the structural store.
 COUNT_COLUMNS = (
@@ -26,8 +26,9 @@ STRUCTURAL_COLUMNS = COUNT_COLUMNS + DEGREE_COLUMNS + ROLE_COLUMNS + RATIO_COLUM
 def edge_multiplicity(valid: DataFrame) -> DataFrame:
     """Number of rows per component, endpoint pair and transaction.
 
-    Every edge statistic starts from this one shuffle. Its key is the whole edge, so a
-    component with a large share of all edges is spread over all tasks.
+    Every edge statistic starts from this one shuffle. Its key is the whole edge, so on a
+    table that is not partitioned by an endpoint already, as written_valid_edges gives, a
+    component or node with a large share of all edges is spread over all tasks.
     """
     return valid.groupBy("component_id", "source_node_id", "target_node_id", "transaction_id").agg(
         F.count(F.lit(1)).alias("edges")
@@ -191,8 +192,8 @@ def assemble_component_store(
 def component_structural_features(
     components: DataFrame, nodes: DataFrame, edges: DataFrame
 ) -> DataFrame:
-    """Nineteen structural features per labelled component."""
-    multiplicity = edge_multiplicity(valid_edges(edge_component_map(edges, nodes)))
+    """Nineteen structural features per labelled component, from edges written once."""
+    multiplicity = edge_multiplicity(written_valid_edges(edges, nodes))
     pairs = pair_multiplicity(multiplicity)
     return assemble_component_store(
         components,

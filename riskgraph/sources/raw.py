@@ -55,7 +55,12 @@ def read_raw_csv(spark: SparkSession, path: str, name: str) -> DataFrame:
         raise IntegrityError(f"{path} lacks the key columns {missing}")
     schema = T.StructType([T.StructField(c, keys.get(c, T.DoubleType())) for c in header])
     return (
-        spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(path)
+        spark.read.schema(schema)
+        .option("header", True)
+        .option("enforceSchema", False)
+        # A field that is not of its type stops the run; read as NULL it would lose its row in joins.
+        .option("mode", "FAILFAST")
+        .csv(path)
     )
 
 

@@ -116,6 +116,17 @@ def test_hot_endpoint_is_split_by_adaptive_execution(spark):
         assert "skew=true" in plan(mapped)
         both = linking.edge_component_map(edges, nodes)
         assert both.count() == n
+        # A node that receives two thirds: the job that writes the valid edges splits it.
+        swapped = edges.select(
+            F.col("target_node_id").alias("source_node_id"),
+            F.when(F.col("transaction_id") % 3 > 0, 1).otherwise(F.col("source_node_id")).alias("target_node_id"),
+            "transaction_id",
+        )
+        valid = linking.valid_edges(linking.edge_component_map(swapped, nodes))
+        valid.write.format("noop").mode("overwrite").save()
+        valid.collect()
+        assert "skew=true" in plan(valid)
+        assert linking.written_valid_edges(swapped, nodes).count() == valid.count()
     finally:
         for key in settings:
             spark.conf.unset(key)

@@ -113,3 +113,13 @@ def test_pivot_orders_columns_by_mean_score(spark):
     df = tables.case_feature_pivot(long, 2)
     assert df.columns == ["rank", "component_id", "b", "a"]
     assert df.collect() == [(1, 10, -2.0, 1.0), (2, 20, 3.0, None)]
+
+
+def test_a_case_without_evidence_keeps_a_row(spark):
+    item = "feature string, value double, percentile double, zscore double, importance double, evidence_score double"
+    cases = spark.createDataFrame(
+        [(1, None), (2, [("f", 1.0, 0.5, 0.1, 0.2, 0.3)])],
+        "component_id long, evidence array<struct<" + ", ".join(x.strip().replace(" ", ":") for x in item.split(",")) + ">>",
+    )
+    rows = {(r.component_id, r.evidence_rank, r.feature) for r in evidence.evidence_long(cases).collect()}
+    assert rows == {(1, None, None), (2, 1, "f")}

@@ -189,3 +189,15 @@ def test_canonical_run(spark):
     assert {r.model: r.average_precision for r in run.metrics.collect()}[run.model] == 1.0
     assert {r.review_fraction for r in run.budgets.collect()} == {0.25, 0.5, 1.0}
     assert run.queue.filter("rank = 1").first().component_id in {f"C{c:02d}" for c in range(5)}
+
+
+def test_fit_rows_are_bounded_and_repeatable(store):
+    assert models.bounded_rows(store).count() == 600
+    some = models.bounded_rows(store, 200)
+    assert 140 < some.count() < 260
+    assert some.exceptAll(models.bounded_rows(store, 200)).count() == 0
+
+
+def test_forest_tasks_hang_on_rows_alone(store):
+    assert models._training_rows(store, 600).rdd.getNumPartitions() == models.LEAST_TASKS
+    assert models._training_rows(store, 250_000).rdd.getNumPartitions() == models.LEAST_TASKS + 2

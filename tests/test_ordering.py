@@ -48,3 +48,11 @@ def test_empty_input(spark):
     df = spark.createDataFrame([], "id long, v double")
     assert global_rank(df, [F.col("v").asc()]).count() == 0
     assert running_totals(df, [F.col("v").asc()], {"s": "v"}).count() == 0
+
+
+def test_a_null_group_is_kept(spark):
+    df = spark.createDataFrame([(None, 1), (None, 2), ("a", 3)], "g string, v int")
+    ranked = global_rank(df, [F.col("v").asc()], ["g"], total="n")
+    assert {(r.g, r.v, r.rank, r.n) for r in ranked.collect()} == {(None, 1, 1, 2), (None, 2, 2, 2), ("a", 3, 1, 1)}
+    summed = running_totals(df, [F.col("v").asc()], {"until": "v"}, ["g"])
+    assert {(r.g, r.until) for r in summed.collect()} == {(None, 1), (None, 3), ("a", 3)}

@@ -76,3 +76,11 @@ def test_scratch_folder_follows_the_session_setting(spark):
 
     with pytest.raises(ValueError):
         scratch_root(Unset)
+
+
+def test_a_field_of_the_wrong_type_stops_the_run(spark, folder, tmp_path):
+    (tmp_path / "nodes.csv").write_text("clId,ccId\nxx,1\n11,1\n")
+    with pytest.raises(Exception, match="FAILFAST|Malformed"):
+        raw.read_raw_csv(spark, str(tmp_path / "nodes.csv"), "nodes").collect()
+    with pytest.raises(Exception, match="FAILFAST|Malformed"):
+        stores.read_store(spark, str(tmp_path / "nodes.csv"), schema=raw.read_raw_csv(spark, str(tmp_path / "nodes.csv"), "nodes").schema).collect()
