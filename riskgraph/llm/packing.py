@@ -24,6 +24,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator, Mapping
 from functools import lru_cache
+from itertools import chain, islice
 
 import numpy as np
 import pandas as pd
@@ -40,68 +41,122 @@ END = 1
 # Words whose ids a task remembers, and characters tokenized at once.
 REMEMBERED = 600_000
 BATCH_CHARS = 8_000_000
+# Pieces of words that go through the tokenizer in one text.
+JOINED = 2000
 LEAST_SERVED = 2
 
 
+class Places(dict):
+    """Numbers keys in the order in which they are first asked for."""
+
+    def __missing__(self, key: bytes) -> int:
+        self[key] = place = len(self)
+        return place
+
+
 class WordTokenizer:
     """Ids of texts, each distinct word tokenized once.
 
     White space always ends a token and is dropped, so the ids of a text are those of its
-    words in order. ASCII words are lower-cased here and go through the tokenizer many at a
-    time without its normalizer, with a separating sign between them that no ASCII word has.
+    words in order. Commas and full stops at the end of a word make tokens of their own where
+    an ASCII letter or digit stands before them, so such a word is two pieces that others may
+    share. Pieces go through the tokenizer many at a time with a sign between them that none of
+    them has: ASCII ones lower-cased and without its normalizer, letters also without its split
+    at signs. Pieces with the sign itself or the start of a special token go alone.
     """
 
     def __init__(self, definition: str) -> None:
-        from tokenizers import Tokenizer, normalizers
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.full = Tokenizer.from_str(definition)
-        self.plain = Tokenizer.from_str(definition)
-        self.plain.normalizer = normalizers.Sequence([])
+        # One vocabulary serves all three.
+        self.plain, self.letters = Tokenizer(self.full.model), Tokenizer(self.full.model)
+        self.plain.pre_tokenizer = self.full.pre_tokenizer
+        self.letters.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.sign = "²"
-        (self.sign_id,) = self.plain.encode(self.sign, add_special_tokens=False).ids
         self.forget()
 
     def forget(self) -> None:
-        self.place: dict[bytes, int] = {}
-        self.starts = np.zeros(0, np.int64)
-        self.sizes = np.zeros(0, np.int64)
+        """Start anew, with an empty piece as number 0."""
+        self.word, self.piece = Places(), Places({b"": 0})
+        self.stem, self.tail = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.starts, self.sizes = np.zeros(1, np.int64), np.zeros(1, np.int64)
         self.flat = np.zeros(0, np.uint32)
 
-    def learn(self, words: list[bytes]) -> None:
-        plain = [w for w in words if w.isascii() and b"<|" not in w]
-        other = [w for w in words if not (w.isascii() and b"<|" not in w)]
-        texts = [
-            f" {self.sign} ".join(w.decode().lower() for w in plain[i : i + 2000]) for i in range(0, len(plain), 2000)
-        ]
-        parts, sizes = [], []
-        for found in self.plain.encode_batch_fast(texts, add_special_tokens=False):
+    def learn_words(self, words: list[bytes]) -> None:
+        """The pieces of words that take the next numbers."""
+        known = len(self.piece)
+        stems, tails = [], []
+        piece = self.piece
+        for word in words:
+            if word.isalpha():
+                stems.append(piece[word.lower()])
+                tails.append(0)
+                continue
+            stem = word.rstrip(b".,")
+            if not stem[-1:].isalnum() or b"<|" in word:
+                stem = word
+            tails.append(piece[word[len(stem) :]])
+            stems.append(piece[stem.lower() if stem.isascii() and b"<|" not in stem else stem])
+        self.stem = np.append(self.stem, np.array(stems, np.int64))
+        self.tail = np.append(self.tail, np.array(tails, np.int64))
+        self.learn_pieces(list(islice(self.piece, known, None)))
+
+    def learn_pieces(self, pieces: list[bytes]) -> None:
+        """The ids of pieces that take the next numbers."""
+        kinds: dict[str, list[int]] = {"letters": [], "plain": [], "full": [], "alone": []}
+        sign = self.sign.encode()
+        for i, piece in enumerate(pieces):
+            if b"<|" in piece or sign in piece:
+                kinds["alone"].append(i)
+            elif not piece.isascii():
+                kinds["full"].append(i)
+            else:
+                kinds["letters" if piece.isalpha() else "plain"].append(i)
+        starts, sizes = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64)
+        parts, at = [self.flat], len(self.flat)
+        for kind, places in kinds.items():
+            step = 1 if kind == "alone" else JOINED
+            joined = [[pieces[i].decode() for i in places[j : j + step]] for j in range(0, len(places), step)]
+            rows, lengths = self.encode_joined(self.full if kind == "alone" else getattr(self, kind), joined)
+            parts += rows
+            sizes[places] = lengths
+            starts[places] = at + np.cumsum(lengths) - lengths
+            at += int(lengths.sum())
+        self.flat = np.concatenate(parts)
+        self.starts, self.sizes = np.append(self.starts, starts), np.append(self.sizes, sizes)
+
+    def encode_joined(self, encoder, groups: list[list[str]]) -> tuple[list[np.ndarray], np.ndarray]:
+        """Ids of every group without the signs, and the number of ids of every piece."""
+        rows, lengths = [], [np.zeros(0, np.int64)]
+        (sign_id,) = encoder.encode(self.sign, add_special_tokens=False).ids
+        texts = [f" {self.sign} ".join(group) for group in groups]
+        for found, group in zip(encoder.encode_batch_fast(texts, add_special_tokens=False), groups, strict=True):
             row = np.array(found.ids, np.uint32)
-            signs = np.flatnonzero(row == self.sign_id)
-            sizes.append(np.diff(np.concatenate(([-1], signs, [len(row)]))) - 1)
-            parts.append(np.delete(row, signs))
-        for found in self.full.encode_batch_fast([w.decode() for w in other], add_special_tokens=False):
-            parts.append(np.array(found.ids, np.uint32))
-            sizes.append([len(parts[-1])])
-        sizes = np.concatenate([np.zeros(0, np.int64), *sizes])
-        for word in plain + other:
-            self.place[word] = len(self.place)
-        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
-        self.sizes = np.concatenate([self.sizes, sizes])
-        self.flat = np.concatenate([self.flat, *parts])
+            if len(group) > 1:
+                signs = np.flatnonzero(row == sign_id)
+                lengths.append(np.diff(np.concatenate(([-1], signs, [len(row)]))) - 1)
+                rows.append(np.delete(row, signs))
+            else:
+                lengths.append(np.array([len(row)], np.int64))
+                rows.append(row)
+        return rows, np.concatenate(lengths)
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """Ids of every text with the end token after them."""
-        if len(self.place) > REMEMBERED:
+        if len(self.word) > REMEMBERED:
             self.forget()
         split = [t.split() for t in texts]
-        flat = [w for words in split for w in words]
-        self.learn([w for w in dict.fromkeys(flat) if w not in self.place])
-        index = np.fromiter(map(self.place.__getitem__, flat), np.int64, len(flat))
-        sizes = self.sizes[index]
+        counts = np.fromiter(map(len, split), np.int64, len(split))
+        known = len(self.word)
+        index = np.fromiter(map(self.word.__getitem__, chain.from_iterable(split)), np.int64, int(counts.sum()))
+        self.learn_words(list(islice(self.word, known, None)))
+        pieces = np.stack([self.stem[index], self.tail[index]], axis=1).ravel()
+        sizes = self.sizes[pieces]
         before = np.cumsum(sizes) - sizes
-        ids = self.flat[np.repeat(self.starts[index] - before, sizes) + np.arange(sizes.sum())]
+        ids = self.flat[np.repeat(self.starts[pieces] - before, sizes) + np.arange(sizes.sum())]
         ends = np.concatenate(([0], np.cumsum(sizes)))
-        bounds = ends[np.cumsum([0, *map(len, split)])]
+        bounds = ends[2 * np.concatenate(([0], np.cumsum(counts)))]
         return [np.append(ids[a:b], np.uint32(END)) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
 

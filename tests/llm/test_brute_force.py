@@ -186,6 +186,24 @@ def test_quality_held_out(spark):
     assert np.mean([a for a, b in unseen if b == 1]) > 0.97
 
 
+def test_word_tokenizer_equals_whole_texts():
+    """Random texts of awkward signs; a second call has no new words."""
+    import random
+
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    whole = Tokenizer.from_file(path)
+    signs = [*"aAbHsIt09'.,;)(<|\u00b2\u0331\u0301\u0307\u00e9\u00c9\u03a3\u0130\u201c\u00bd\u4e2d\u00a0\u3000 \n\t\x1c\x85"]
+    signs += ["'s", "it's.", "a,.", "...", "<|endoftext|>", " ", " ", " "]
+    rng = random.Random(5)
+    texts = ["".join(rng.choices(signs, k=rng.randrange(60))) for _ in range(3000)] + ["", ".", "\u00b2."]
+    words = packing.WordTokenizer(Path(path).read_text())
+    expected = [found.ids + [packing.END] for found in whole.encode_batch(texts, add_special_tokens=False)]
+    for _ in range(2):
+        assert [ids.tolist() for ids in words.encode([t.encode() for t in texts])] == expected
+
+
 @pytest.mark.parametrize("targets", [None, {"src0": 0.6, "src1": 0.0001, "src2": 0.2}])
 def test_packing_round_trip(spark, texts, targets):
     from tokenizers import Tokenizer
