@@ -525,13 +525,15 @@ _BUDGET = "review_fraction, reviews, suspicious_captured, " + nums(
     "precision_at_budget", "recall_at_budget", "lift_at_budget"
 )
 _TITLE_BUDGET = "CASE model WHEN 'return_share' THEN 'Return Share' ELSE 'Balance' END"
+_NODE_STORE_FEATURES = list(STRUCTURAL_COLUMNS) + ["matched_node_count"] + NODE_STATS
 _LEAKAGE = (
     "SELECT count(*) AS rows, count(*) FILTER (label = 1) AS positive_rows, "
     "count(*) FILTER (label = 0) AS negative_rows, "
-    f"{len(STRUCTURAL_COLUMNS)}::BIGINT AS feature_count, count(*) - count(DISTINCT component_id) AS duplicate_component_ids, "
-    "0::BIGINT AS nonfinite_feature_values, '' AS potential_target_name_columns FROM store"
+    f"{len(_NODE_STORE_FEATURES)}::BIGINT AS feature_count, count(*) - count(DISTINCT component_id) AS duplicate_component_ids, "
+    "coalesce(sum("
+    + " + ".join(f"({c} IS NULL OR NOT isfinite({c}::DOUBLE))::INT" for c in _NODE_STORE_FEATURES)
+    + "), 0)::BIGINT AS nonfinite_feature_values, '' AS potential_target_name_columns FROM node_store"
 )
-_NODE_STORE_FEATURES = list(STRUCTURAL_COLUMNS) + ["matched_node_count"] + NODE_STATS
 _STANDARD = ", ".join(
     num(f"({c} - (SELECT avg({c}) FROM train)) / coalesce(nullif((SELECT stddev_pop({c}) FROM train), 0), 1)", c)
     for c in STRUCTURAL_COLUMNS
@@ -746,7 +748,10 @@ SELECT count(*) AS rows, count(DISTINCT component_id) AS distinct_components,
     separation = nums(
         "licit_mean", "suspicious_mean", "standardized_mean_difference", "abs_standardized_mean_difference"
     )
-    made["class_separation"] = f"SELECT feature, {separation} FROM separation"
+    made["class_separation"] = (
+        f"SELECT feature, {separation} FROM (SELECT {separation_columns()} "
+        f"FROM ({separation_sql(_NODE_STORE_FEATURES, 'node_store')}))"
+    )
     made["leakage_audit"] = _LEAKAGE
     made["repeat_summary"] = f"SELECT model, {nums(*summary_names(QUALITY))} FROM summary"
 
@@ -776,13 +781,13 @@ FROM (SELECT * RENAME (matched_background_rows AS matched_node_rows) FROM ({_NOD
         "priority_band, score_type, reason_1, reason_2 FROM queue"
     )
     made["priority_band"] = (
-        "SELECT priority_band, min(rank) AS first_rank, max(rank) AS last_rank FROM queue GROUP BY priority_band"
+        f"SELECT component_id, rank, {nums('review_fraction_rank')}, priority_band FROM queue"
     )
     made["average_rank_percentile"] = f"SELECT component_id, feature, {nums('value', 'percentile')} FROM stats"
     made["feature_zscores"] = " UNION ALL ".join(
         f"SELECT component_id, '{f}' AS feature, {num(f, 'value')}, "
         f"{num(f'coalesce(({f} - avg({f}) OVER ()) / nullif(stddev_pop({f}) OVER (), 0), 0)', 'zscore')} FROM node_store"
-        for f in ("node_count", "node_feat_01_mean", "node_feat_43_mean")
+        for f in _NODE_STORE_FEATURES
     )
     made["case_evidence_topk"] = (
         f"SELECT component_id, evidence_rank, feature, {nums('evidence_score')} FROM top_evidence"
@@ -943,11 +948,11 @@ FROM (SELECT feature, random_forest_importance AS first,
   FROM importance ORDER BY random_forest_importance DESC, feature LIMIT 1)"""
 
     # Graph.
-    made["graph_dataset"] = f"""
-SELECT count(*) AS rows, sum(component_id)::BIGINT AS component_sum, {num('sum(node_feat_01)', 'value')}, 'nodes' AS part
-FROM graph_nodes
-UNION ALL SELECT count(*), sum(component_id)::BIGINT, {num('sum(src - dst)')}, 'edges' FROM graph_edges
-UNION ALL SELECT count(*), sum(component_id)::BIGINT, {num('sum(label)')}, 'components' FROM components"""
+    made["graph_dataset"] = "SELECT * FROM graph_nodes"
+    made["graph_dataset_edges"] = (
+        "SELECT component_id, src AS source_node_id, dst AS target_node_id FROM graph_edges"
+    )
+    made["graph_dataset_components"] = "SELECT component_id, label FROM components"
     for name, reverse, prefix in (
         ("forward_neighbor_mean", False, "in_"),
         ("reverse_neighbor_mean", True, "out_"),

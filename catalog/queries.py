@@ -41,8 +41,13 @@ REGISTRY: dict[str, Query] = {}
 _FITS: dict[tuple[str, str, str], object] = {}
 
 
-# Queries that only pass values on: nothing is summed, so nothing is rounded.
-EXACT = ("match_node_features", "match_edge_features", "rename_feature_columns")
+# Queries that only pass values on, so that nothing is summed, and scores of fits, whose small
+# values and order rounding would spoil.
+EXACT = (
+    "match_node_features", "match_edge_features", "rename_feature_columns", "graph_dataset",
+    "fit_logistic", "fit_random_forest", "score_cases", "feature_importance", "sigmoid_calibration",
+    "forest_calibration", "graph_feature_classifier", "structural_review_queue", "canonical_review_queue",
+)
 
 
 def query(build: Callable[[SampleTables], DataFrame]) -> Callable[[SampleTables], DataFrame]:
@@ -228,13 +233,18 @@ def matched_edges(t: SampleTables) -> DataFrame:
 
 @query
 def scan_raw_tables(t):
-    tables_ = {
+    """Rows of the five tables, written as CSV and read by the raw reader."""
+    folder = new_scratch_path(t.spark, "raw")
+    given = {
         "connected_components": t.raw_components(),
         "nodes": t.raw_nodes(),
         "edges": t.raw_edges(),
         "background_nodes": t.background_nodes(),
         "background_edges": t.background_edges(),
     }
+    for name, df in given.items():
+        df.write.option("header", True).csv(f"{folder}/{name}.csv")
+    tables_ = raw.scan_raw_tables(t.spark, folder)
     return reduce(
         DataFrame.unionByName,
         [
@@ -625,12 +635,12 @@ def queue_qa(t):
 
 @query
 def class_separation(t):
-    return gates.class_separation(t.feature_store())
+    return gates.class_separation(t.node_store())
 
 
 @query
 def leakage_audit(t):
-    return profile.leakage_audit(t.feature_store())
+    return profile.leakage_audit(t.node_store())
 
 
 @query
@@ -661,9 +671,7 @@ def review_queue(t):
 
 @query
 def priority_band(t):
-    return queue(t).groupBy("priority_band").agg(
-        F.min("rank").alias("first_rank"), F.max("rank").alias("last_rank")
-    )
+    return queue(t).select("component_id", "rank", "review_fraction_rank", "priority_band")
 
 
 @query
@@ -673,7 +681,7 @@ def average_rank_percentile(t):
 
 @query
 def feature_zscores(t):
-    return evidence.feature_zscores(t.node_store(), ("node_count", "node_feat_01_mean", "node_feat_43_mean"))
+    return evidence.feature_zscores(t.node_store(), labels.numeric_features(t.node_store()))
 
 
 @query
@@ -1006,26 +1014,22 @@ def forest_calibration(t):
 
 @query
 def graph_dataset(t):
-    parts = neighbors.graph_dataset(
-        t.components(), t.nodes(), t.clean_edges(), t.background_nodes(), raw.NODE_FEATURES
-    )
-    nodes = parts["nodes"].agg(
-        F.count(F.lit(1)).alias("rows"), F.sum("component_id").alias("component_sum"),
-        F.sum("node_feat_01").alias("value"),
-    )
-    edges = parts["edges"].agg(
-        F.count(F.lit(1)).alias("rows"), F.sum("component_id").alias("component_sum"),
-        F.sum(F.col("source_node_id") - F.col("target_node_id")).cast("double").alias("value"),
-    )
-    components = parts["components"].agg(
-        F.count(F.lit(1)).alias("rows"), F.sum("component_id").alias("component_sum"),
-        F.sum("label").cast("double").alias("value"),
-    )
-    return tables.union_model_results(
-        {"nodes": nodes, "edges": edges, "components": components}, "part"
+    """The nodes with all features; edges and components are queries of their own."""
+    return graph(t)["nodes"].select(
+        "node_id", "component_id", *[labels.column(f) for f in GRAPH_FEATURES]
     )
 
 
+@query
+def graph_dataset_edges(t):
+    return graph(t)["edges"].select("component_id", "source_node_id", "target_node_id")
+
+
+@query
+def graph_dataset_components(t):
+    return graph(t)["components"].select("component_id", "label")
+
+
 @query
 def forward_neighbor_mean(t):
     g = graph(t)
