@@ -181,13 +181,17 @@ def prepare(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_col="te
 
 
 def covered(matches: DataFrame) -> DataFrame:
-    """doc_id, text_key, n_hit, items: words inside any match, and the items that match."""
+    """doc_id, text_key, n_hit, items: words inside any match, and the items that match.
+
+    Matches repeat only where rows do, so they are told apart as numbers and strings, which
+    are hashed, and never as pairs of structs, however many one long text has.
+    """
     positions = F.flatten(
         F.transform("found", lambda m: F.sequence(m["start"], m["start"] + m["length"] - 1))
     )
     return (
         matches.groupBy("doc_id", "text_key")
-        .agg(F.array_distinct(F.flatten(F.collect_list("matches"))).alias("found"))
+        .agg(F.flatten(F.collect_list("matches")).alias("found"))
         .select(
             "doc_id", "text_key",
             F.size(F.array_distinct(positions)).cast("long").alias("n_hit"),
