@@ -230,7 +230,7 @@ BLOCKS["weights"] = f"""
 SELECT feature, random_forest_importance AS importance FROM importance
 ORDER BY random_forest_importance DESC, feature LIMIT {TOP_FEATURES}"""
 BLOCKS["long_store"] = " UNION ALL ".join(
-    f"SELECT component_id, '{f}' AS feature, {f}::DOUBLE AS value FROM store" for f in EVIDENCE_FEATURES
+    f"SELECT component_id, '{f}' AS feature, round({f}::DOUBLE, 9) AS value FROM store" for f in EVIDENCE_FEATURES
 )
 BLOCKS["stats"] = """
 SELECT component_id, feature, value,
@@ -283,7 +283,7 @@ SELECT *, feature || ': value=' || CASE WHEN value = 0 THEN '0' ELSE CASE WHEN v
 FROM digits"""
 BLOCKS["top_evidence"] = """
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY component_id
-  ORDER BY evidence_score DESC, importance DESC, feature) AS evidence_rank FROM sentences)
+  ORDER BY round(evidence_score, 9) DESC, importance DESC, feature) AS evidence_rank FROM sentences)
 WHERE evidence_rank <= 3 AND component_id IN (SELECT component_id FROM queue)"""
 BLOCKS["long_evidence"] = """
 SELECT rank, component_id, priority_band, risk_score, model, score_type, evidence_rank, feature,
@@ -808,7 +808,7 @@ FROM (SELECT * RENAME (matched_background_rows AS matched_node_rows) FROM ({_NOD
     )
     made["top_separation"] = (
         f"SELECT feature, {separation} FROM (SELECT * FROM apart "
-        "ORDER BY abs_standardized_mean_difference DESC, feature LIMIT 5)"
+        "ORDER BY abs_standardized_mean_difference DESC, feature LIMIT 15)"
     )
     made["select_model"] = (
         f"SELECT model, {nums('average_precision')} FROM (SELECT * FROM quality "

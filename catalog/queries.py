@@ -27,13 +27,8 @@ from riskgraph.sources.sample import SAMPLE_EDGE_FEATURES, SampleTables
 PLACES = 6
 NUDGE = 1.7e-8
 SEEDS = models.VALIDATION_SEEDS
-# Exactly computed features without an exact twin, so that no tie or ordering hangs on the
-# last bit of a sum.
-EVIDENCE_FEATURES = (
-    "node_count", "edge_count", "self_loop_count", "max_in_degree", "max_out_degree",
-    "avg_in_degree", "source_nodes", "sink_nodes", "isolate_nodes", "directed_density",
-)
-TOP_FEATURES = 6
+EVIDENCE_FEATURES = structure.STRUCTURAL_COLUMNS
+TOP_FEATURES = 15
 GRAPH_FEATURES = tuple(f"node_feat_{i:02d}" for i in range(1, 44))
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -101,8 +96,36 @@ def canonical(t: SampleTables) -> tuple[DataFrame, DataFrame]:
     return t.nodes(), edges
 
 
-def importance(t: SampleTables) -> DataFrame:
-    """Importance table derived from the store: share of each feature in the class separation."""
+def fit_store(t: SampleTables) -> DataFrame:
+    """The node-enriched store that fits take; a component without a matched node has 0 in every statistic."""
+    return once(t, "fit_store", lambda: materialize(t.node_store().fillna(0), "fit_store"))
+
+
+def evidence_store(t: SampleTables) -> DataFrame:
+    """The structural store with doubles at nine places, so that equal values are equal in any engine."""
+    return once(
+        t,
+        "evidence_store",
+        lambda: materialize(
+            t.feature_store().select(
+                *[
+                    F.round(labels.column(f.name), 9).alias(f.name)
+                    if isinstance(f.dataType, DoubleType)
+                    else labels.column(f.name)
+                    for f in t.feature_store().schema.fields
+                ]
+            ),
+            "evidence_store",
+        ),
+    )
+
+
+def given_importance(t: SampleTables) -> DataFrame:
+    """A given importance table: share of each feature in the class separation.
+
+    It stands in for a fitted forest's table, which has no SQL, under the column name that
+    the operators read; ``feature_importance`` gives the forest's own.
+    """
 
     def build() -> DataFrame:
         apart = gates.class_separation(t.feature_store(), EVIDENCE_FEATURES)
@@ -121,7 +144,7 @@ def weights(t: SampleTables) -> dict[str, float]:
     return once(
         t,
         "weights",
-        lambda: evidence.candidate_features(importance(t), t.feature_store(), TOP_FEATURES),
+        lambda: evidence.candidate_features(given_importance(t), evidence_store(t), TOP_FEATURES),
     )
 
 
@@ -141,7 +164,7 @@ def cases(t: SampleTables) -> DataFrame:
         "cases",
         lambda: materialize(
             evidence.require_evidence(
-                evidence.case_evidence_topk(queue(t), t.feature_store(), weights(t))
+                evidence.case_evidence_topk(queue(t), evidence_store(t), weights(t))
             ),
             "cases",
         ),
@@ -384,7 +407,7 @@ def humanize_labels(t):
 
 @query
 def evidence_text(t):
-    rows = evidence.feature_evidence(t.feature_store(), weights(t))
+    rows = evidence.feature_evidence(evidence_store(t), weights(t))
     text = review.evidence_text(
         F.col("feature"), F.col("value"), F.col("percentile"), F.col("zscore"), F.col("importance")
     )
@@ -393,7 +416,7 @@ def evidence_text(t):
 
 @query
 def drop_null_importance(t):
-    known = importance(t)
+    known = given_importance(t)
     broken = known.unionByName(known.withColumn("random_forest_importance", F.lit(None).cast("double")))
     found = evidence.candidate_features(
         broken, t.feature_store().drop("edge_count"), len(EVIDENCE_FEATURES)
@@ -676,7 +699,7 @@ def priority_band(t):
 
 @query
 def average_rank_percentile(t):
-    return evidence.average_rank_percentile(t.feature_store(), EVIDENCE_FEATURES)
+    return evidence.average_rank_percentile(evidence_store(t), EVIDENCE_FEATURES)
 
 
 @query
@@ -686,7 +709,7 @@ def feature_zscores(t):
 
 @query
 def case_evidence_topk(t):
-    found = evidence.case_evidence_topk(queue(t), t.feature_store(), weights(t))
+    found = evidence.case_evidence_topk(queue(t), evidence_store(t), weights(t))
     return found.select("component_id", F.posexplode("evidence").alias("at", "e")).select(
         "component_id",
         (F.col("at") + 1).alias("evidence_rank"),
@@ -707,12 +730,12 @@ def evidence_long(t):
 
 @query
 def top_importance(t):
-    return ranking.top_importance(importance(t), TOP_FEATURES)
+    return ranking.top_importance(given_importance(t), TOP_FEATURES)
 
 
 @query
 def top_separation(t):
-    return ranking.top_separation(gates.class_separation(t.feature_store(), EVIDENCE_FEATURES), 5)
+    return ranking.top_separation(gates.class_separation(t.feature_store()))
 
 
 @query
@@ -934,7 +957,7 @@ def validation_gate(t):
 
 @query
 def dominance_review(t):
-    return gates.dominance_review(importance(t))
+    return gates.dominance_review(given_importance(t))
 
 
 def _split(t):
@@ -971,20 +994,20 @@ def feature_importance(t):
 
 @query
 def repeated_splits(t):
-    scored = models.repeated_splits(t.feature_store())
+    scored = models.repeated_splits(fit_store(t))
     return metrics.ranking_and_brier(scored, ("seed", "model"))
 
 
 @query
 def permutation_sanity(t):
-    return models.permutation_sanity(t.feature_store())
+    return models.permutation_sanity(fit_store(t))
 
 
 def _calibrated(t):
     return once(
         t,
         "calibrated",
-        lambda: materialize(models.calibration_scores(t.feature_store()), "calibrated"),
+        lambda: materialize(models.calibration_scores(fit_store(t)), "calibrated"),
     )
 
 
@@ -1077,6 +1100,6 @@ def canonical_review_queue(t):
 @query
 def explained_review_queue(t):
     found = runs.explained_cases(
-        t.scores().drop("label"), t.feature_store(), importance(t), "return_share", top_n=TOP_FEATURES
+        t.scores().drop("label"), evidence_store(t), given_importance(t), "return_share", top_n=TOP_FEATURES
     )
     return evidence.evidence_wide(found)

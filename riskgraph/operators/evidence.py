@@ -130,11 +130,12 @@ def case_evidence_topk(
     """Queue rows with ``evidence``, an array of their k strongest features.
 
     A component's list has one entry per important feature, so it stays short whatever the
-    data; ties go to the more important feature, then to the name.
+    data. Scores equal to nine places tie, as features may be twins but for the last bit of
+    a sum; ties go to the more important feature, then to the name.
     """
     require_unique(store, ["component_id"])
     entry = F.struct(
-        (-F.col("evidence_score")).alias("by_score"),
+        (-F.round("evidence_score", 9)).alias("by_score"),
         (-F.col("importance")).alias("by_importance"),
         "feature",
         "value",
