@@ -6,6 +6,11 @@ by Jensen-Shannon distance (base 2, from 0 to 1). A document far from its langua
 kept. The references are sums over all documents of a language, whatever its size; a
 histogram too short to judge is not compared.
 
+Chance alone moves a text of n words by about c / sqrt(n) from its language, so the limit for
+common words is COMMON_FACTOR times what is usual at that length: c is the median of distance
+times sqrt(n) over all documents of the language that are long enough. Below COMMON_FLOOR no
+distance counts as far, as long texts differ by their subjects too.
+
 Null text has no words and fails. A null language is a language of its own. Null and
 repeated ids get a row each. An empty table gives an empty result; other columns are
 ignored. References have one row per language; they are joined like any table, so their
@@ -38,7 +43,8 @@ LEAST_WORDS = 50
 LEAST_CHARS = 200
 LEAST_COMMON = 100
 CLASS_LIMIT = 0.32
-COMMON_LIMIT = 0.6
+COMMON_FLOOR = 0.25
+COMMON_FACTOR = 1.4
 SYMBOLS = b"#*$%&|<>"
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 
@@ -162,19 +168,31 @@ def distance(ours: pd.Series, theirs: pd.Series) -> pd.Series:
     return pd.Series(np.where((a > 0).ravel() & (b > 0).ravel(), out, np.nan)).replace({np.nan: None}).astype("Float64")
 
 
+def usual(compared: DataFrame) -> DataFrame:
+    """of_lang, usual: median of distance times sqrt(words) over the texts long enough.
+
+    Two decimals bound the distinct values that a language's exact median counts.
+    """
+    scaled = F.round(F.col("common_distance") * F.sqrt("n_words"), 2)
+    long_enough = compared.filter(F.col("n_words") >= LEAST_COMMON)
+    return long_enough.groupBy(F.col("lang").alias("of_lang")).agg(F.percentile(scaled, 0.5).alias("usual"))
+
+
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """doc_id, the counts, class_distance, common_distance, base_failed and kept for every row."""
     measured = materialize(measure(docs, id_col, text_col, lang_col), "measured")
     reference = materialize(references(measured), "references")
-    joined = measured.join(reference, F.col("lang") == F.col("of_lang"), "left").withColumns(
-        {
-            "class_distance": distance("classes", "all_classes"),
-            "common_distance": distance("common", "all_common"),
-        }
+    compared = measured.join(reference, F.col("lang") == F.col("of_lang"), "left").select(
+        "doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        F.aggregate("classes", F.lit(0).cast("long"), lambda a, x: a + x).alias("chars"),
+        distance("classes", "all_classes").alias("class_distance"),
+        distance("common", "all_common").alias("common_distance"),
     )
-    chars = F.aggregate("classes", F.lit(0).cast("long"), lambda a, x: a + x)
-    far_classes = (chars >= LEAST_CHARS) & (F.col("class_distance") > CLASS_LIMIT)
-    far_common = (F.col("n_words") >= LEAST_COMMON) & (F.col("common_distance") > COMMON_LIMIT)
+    compared = materialize(compared, "compared")
+    joined = compared.join(usual(compared), F.col("lang") == F.col("of_lang"), "left")
+    far_classes = (F.col("chars") >= LEAST_CHARS) & (F.col("class_distance") > CLASS_LIMIT)
+    limit = F.greatest(F.lit(COMMON_FLOOR), COMMON_FACTOR * F.col("usual") / F.sqrt("n_words"))
+    far_common = (F.col("n_words") >= LEAST_COMMON) & (F.col("common_distance") > limit)
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     far = F.coalesce(far_classes, F.lit(False)) | F.coalesce(far_common, F.lit(False))
     return joined.select(
