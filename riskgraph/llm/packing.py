@@ -10,9 +10,12 @@ sequence can be short.
 
 Texts are tokenized once into a written table, where each row knows its place among the rows
 of its source in its block. Block totals per source, summed up in order, turn this into the
-place in the whole queue; no token moves. A source owed less than two tokens a window shares
-one joint queue with the others of that kind, so there are at most 1024 queues plus one,
-and only their totals come to the driver. The number of sources has no limit.
+place in the whole queue; no token moves. A source whose weight owes it less than two tokens a
+window shares one joint queue with the others of that kind, so there are at most 1024 queues
+plus two, and only their totals come to the driver. The number of sources has no limit. In the
+joint queue sources take turns of 32 tokens in the order of tokens so far over weight, sorted
+on Spark, so that each has its share of any stretch up to a turn or two; only the tokens of
+this queue move. Sources with a target of 0 come last, in a queue of the same kind.
 
 Null text counts as empty: a document of the end token alone. A null source is a source of
 its own. Null or repeated ids are separate rows, packed each. An empty table gives an empty
@@ -44,6 +47,8 @@ BATCH_CHARS = 8_000_000
 # Pieces of words that go through the tokenizer in one text.
 JOINED = 2000
 LEAST_SERVED = 2
+# Tokens that a source of a shared queue is served at once.
+TURN = 32
 
 
 class Places(dict):
@@ -214,9 +219,11 @@ class Schedule:
         rest, active = totals.astype(float), totals > 0
         at, served = [0.0], [np.zeros(len(totals))]
         while active.any():
-            share = np.where(active, weights, 0) / weights[active].sum()
+            # Weight 0 waits until all others have ended.
+            wanted = np.where(active, weights if weights[active].any() else rest, 0)
+            share = wanted / wanted.sum()
             need = np.full(len(totals), np.inf)
-            need[active] = rest[active] / share[active]
+            need[share > 0] = rest[share > 0] / share[share > 0]
             step = need.min()
             rest = np.where(need <= step * (1 + 1e-9), 0, rest - share * step)
             active &= rest > 0
@@ -237,32 +244,92 @@ class Schedule:
 
     def windows_of(self, queue: int, first: int, last: int) -> np.ndarray:
         """Window numbers that surely include all that hold tokens first..last of the queue."""
-        near = np.interp([first, last + 1], self.served[:, queue], self.at) // self.window
-        return np.arange(max(0, int(near[0]) - 2), int(near[1]) + 4)
+        begin = np.interp(first, self.served[:, queue], self.at) // self.window
+        # A queue ends where its total is first reached, not with the last window.
+        served, place = np.unique(self.served[:, queue], return_index=True)
+        end = np.interp(last + 1, served, self.at[place]) // self.window
+        return np.arange(max(0, int(begin) - 2), int(end) + 4)
 
 
-def queues_of(blocks: DataFrame, window: int, targets: Mapping[str, float] | None):
-    """Own queues {source: number}, totals and weights by number; other sources take number ``joint``."""
-    total = blocks.agg(F.sum("n")).first()[0] or 0
-    least = LEAST_SERVED / window
+def weights_of(blocks: DataFrame, targets: Mapping[str, float] | None) -> DataFrame:
+    """source, n, weight: the target of a source, or its share of all tokens."""
     by_source = blocks.groupBy("source").agg(F.sum("n").alias("n"))
+    total = blocks.agg(F.sum("n")).first()[0] or 0
+    wanted = [(str(k), max(0.0, float(v))) for k, v in (targets or {}).items()]
+    given = blocks.sparkSession.createDataFrame(wanted, "name string, target double")
+    share = F.col("n") / F.lit(float(total or 1))
+    return by_source.join(given, F.col("source") == F.col("name"), "left").select(
+        "source", "n", F.coalesce("target", share).alias("weight")
+    )
+
+
+def queues_of(weighted: DataFrame, window: int):
+    """Queues of one source {source: number}, number of the joint queue and of the last one, totals and weights.
+
+    Sources of weight 0 make the last queue, other sources without a queue of their own the
+    joint one.
+    """
+    scale = weighted.agg(F.sum("weight")).first()[0] or 0.0
+    least = LEAST_SERVED / window * scale
+    large, idle = F.col("weight") >= F.lit(least), F.col("weight") <= 0
     # At most window / LEAST_SERVED sources can have such a share.
-    rows = by_source.filter(F.col("n") >= F.lit(least * total)).orderBy("source").collect()
-    weights = {r.source: (targets or {}).get(r.source, r.n / total) for r in rows}
-    scale = max(1.0, sum(weights.values()))
-    own = [r for r in rows if weights[r.source] / scale >= least]
+    own = weighted.filter(large & ~idle).orderBy("source").collect()
     number = {r.source: i for i, r in enumerate(own)}
-    totals = [r.n for r in own]
-    shares = [weights[r.source] for r in own]
-    rest = total - sum(totals)
+    totals, shares = [r.n for r in own], [r.weight for r in own]
+    small = weighted.filter(~large & ~idle).agg(F.sum("n"), F.sum("weight")).first()
+    unwanted = weighted.filter(idle).agg(F.sum("n")).first()[0] or 0
     joint = len(own)
-    if rest and (rest >= least * total or not own):
-        totals.append(rest)
-        shares.append(rest / total)
-    elif rest:
-        joint = int(np.argmin(totals))
-        totals[joint] += rest
-    return number, joint, np.array(totals, np.int64), np.array(shares, float)
+    if small[0] and (small[1] >= least or not own):
+        totals.append(small[0])
+        shares.append(small[1])
+    elif small[0]:
+        joint = int(np.argmin(shares))
+        totals[joint] += small[0]
+        shares[joint] += small[1]
+        number = {source: i for source, i in number.items() if i != joint}
+    last = len(totals)
+    if unwanted:
+        totals.append(unwanted)
+        shares.append(0.0)
+    return number, joint, last, np.array(totals, np.int64), np.array(shares, float)
+
+
+def turns(nested: DataFrame) -> DataFrame:
+    """of_source, turn, place: where in its queue each turn of a source begins.
+
+    ``nested`` has source, n, weight, queue, until per block. Turn t of a source is its tokens
+    from TURN * t on. Turns follow each other by the source's tokens so far over its weight,
+    which carries what a source is owed from turn to turn; a shift by a hash of the source
+    keeps small sources from meeting in one place.
+    """
+    first = F.ceil((F.col("until") - F.col("n")) / TURN).cast("long")
+    # One turn more than the block may have, so that the sequence never counts down.
+    found = nested.select(
+        "source", "queue", "weight", "until", "source_n",
+        F.explode(F.sequence(first, F.ceil(F.col("until") / TURN).cast("long"))).alias("turn"),
+    ).filter(F.col("turn") * TURN < F.col("until"))
+    length = F.least(F.lit(TURN).cast("long"), F.col("source_n") - F.col("turn") * TURN)
+    phase = F.pmod(F.xxhash64("source"), F.lit(1 << 20)) / float(1 << 20)
+    rate = F.when(F.col("weight") > 0, F.col("weight")).otherwise(F.col("source_n").cast("double"))
+    timed = found.select(
+        "queue", "source", "turn", length.alias("length"), ((F.col("turn") * TURN + phase * length) / rate).alias("time")
+    )
+    ordered = running_totals(timed, [F.col("time").asc(), F.col("source").asc(), F.col("turn").asc()], {"until": "length"}, ["queue"])
+    return ordered.select(F.col("source").alias("of_source"), F.col("turn").alias("of_turn"), (F.col("until") - F.col("length")).alias("place"))
+
+
+def in_turns(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows cut where a turn of their source begins."""
+    for batch in batches:
+        rows = []
+        for row in batch.itertuples(index=False):
+            width = len(row.ids) // row.n_tokens
+            borders = [row.at, *range((row.at // TURN + 1) * TURN, row.at + row.n_tokens, TURN), row.at + row.n_tokens]
+            for a, b in zip(borders[:-1], borders[1:], strict=True):
+                skip = a - row.at
+                ids = row.ids[skip * width : (b - row.at) * width]
+                rows.append((row.doc_id, row.source, row.queue, a // TURN, a % TURN, b - a, row.n_tokens, skip, ids))
+        yield pd.DataFrame(rows, columns=["doc_id", "source", "queue", "turn", "inside", "n_tokens", "doc_tokens", "skip", "ids"])
 
 
 def pack(
@@ -284,21 +351,45 @@ def pack(
     spark = docs.sparkSession
     tokens = materialize(tokenized(docs, definition, id_col, text_col, source_col), "tokens")
     blocks = materialize(tokens.groupBy("block", "source").agg(F.sum("n_tokens").alias("n")), "token-blocks")
-    number, joint, totals, weights = queues_of(blocks, window, targets)
+    weighted = materialize(weights_of(blocks, targets), "source-weights")
+    number, joint, last, totals, weights = queues_of(weighted, window)
     known = spark.createDataFrame(list(number.items()) or [("", None)], "name string, number int")
-    placed = blocks.join(F.broadcast(known), F.col("source") == F.col("name"), "left").select(
-        "block", "source", "n", F.coalesce("number", F.lit(joint)).alias("queue")
-    )
-    ordered = running_totals(placed, [F.col("block").asc(), F.col("source").asc()], {"until": "n"}, ["queue"])
+    ordered = running_totals(blocks, [F.col("block").asc()], {"until": "n"}, ["source"])
+    of = weighted.select(F.col("source").alias("of"), F.col("n").alias("source_n"), "weight")
+    shared = F.when(F.col("weight") > 0, F.lit(joint)).otherwise(F.lit(last))
     offsets = materialize(
-        ordered.select(F.col("block").alias("b"), F.col("source").alias("s"), "queue", (F.col("until") - F.col("n")).alias("before")),
+        ordered.join(of, F.col("source") == F.col("of"))
+        .join(F.broadcast(known), F.col("source") == F.col("name"), "left")
+        .select(
+            "block", "source", "n", "until", "source_n", "weight",
+            F.coalesce("number", shared).alias("queue"), F.col("number").isNull().alias("nested"),
+        ),
         "queue-offsets",
     )
-    rows = tokens.join(offsets, (F.col("block") == F.col("b")) & (F.col("source") == F.col("s"))).select(
-        "doc_id", "block", "queue", (F.col("before") + F.col("local")).alias("at"), "n_tokens", "ids"
+    starts = offsets.select(
+        F.col("block").alias("b"), F.col("source").alias("s"), "queue", "nested", (F.col("until") - F.col("n")).alias("before")
+    )
+    placed = tokens.join(starts, (F.col("block") == F.col("b")) & (F.col("source") == F.col("s"))).select(
+        "doc_id", "source", "block", "queue", "nested", (F.col("before") + F.col("local")).alias("at"), "n_tokens", "ids"
     )
-    schedule = Schedule(totals, weights, window) if len(totals) else None
     kind = docs.schema[id_col].dataType.simpleString()
+    rows = placed.filter("not nested").select(
+        "doc_id", "block", "queue", "at", "n_tokens", F.col("n_tokens").alias("doc_tokens"), F.lit(0).cast("long").alias("skip"), "ids"
+    )
+    if len(number) < len(totals):
+        cut_rows = placed.filter("nested").select("doc_id", "source", "queue", "at", "n_tokens", "ids").mapInPandas(
+            in_turns,
+            f"doc_id {kind}, source string, queue int, turn long, inside long, n_tokens long, doc_tokens long, skip long, ids binary",
+        )
+        places = turns(offsets.filter("nested"))
+        # Neighbours in a queue meet in one task, whose rows then lie in few windows.
+        served = cut_rows.join(places, (F.col("source") == F.col("of_source")) & (F.col("turn") == F.col("of_turn"))).select(
+            "doc_id", F.lit(-1).cast("long").alias("block"), "queue", (F.col("place") + F.col("inside")).alias("at"),
+            "n_tokens", "doc_tokens", "skip", "ids",
+        )
+        served = materialize(served, "turns")
+        rows = rows.unionByName(served.repartitionByRange("queue", "at").sortWithinPartitions("queue", "at"))
+    schedule = Schedule(totals, weights, window) if len(totals) else None
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -314,8 +405,9 @@ def pack(
 
 
 def pieces(part: pd.DataFrame, queue: int, schedule: Schedule) -> pd.DataFrame:
-    """Pieces of documents that follow each other in one queue, cut at the window borders."""
+    """Pieces of documents, or of parts of them, in one queue, cut at the window borders."""
     begins, sizes = part["at"].to_numpy(np.int64), part["n_tokens"].to_numpy(np.int64)
+    skip, doc_tokens = part["skip"].to_numpy(np.int64), part["doc_tokens"].to_numpy(np.int64)
     ends = begins + sizes
     k = schedule.windows_of(queue, int(begins[0]), int(ends[-1]) - 1)
     served = schedule.after(np.append(k, k[-1] + 1))
@@ -335,10 +427,10 @@ def pieces(part: pd.DataFrame, queue: int, schedule: Schedule) -> pd.DataFrame:
     return pd.DataFrame(
         {
             "doc_id": part["doc_id"].to_numpy()[owner],
-            "start": lo,
+            "start": lo + skip[owner],
             "length": hi - lo,
             "ids_crc32": [zlib.crc32(p.tobytes()) for p in parts],
-            "doc_tokens": sizes[owner],
+            "doc_tokens": doc_tokens[owner],
             "sequence_id": np.append(k, k[-1] + 1)[row],
             "offset": ahead + starts - mine[row],
             "ids": [p.view(np.int32) for p in parts],
