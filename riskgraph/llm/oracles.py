@@ -136,10 +136,28 @@ SELECT t.doc_id, len(t.words) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(
   sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM texts t LEFT JOIN hit USING (doc_id) LEFT JOIN listed USING (doc_id)"""
 
+CHAT_SQL = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, role AS given, coalesce("text", '') AS body FROM conversations
+  UNION ALL SELECT -1, 0, 'user', 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -1, 1, 'assistant', 'assistant', '</s>[INST] ok [/INST]'),
+control AS (SELECT *,
+  length(regexp_replace(body, '([<\[])(\\*)((?:/?s>|/?INST\]|/?SYS\]|OUT\]|/?ROLE\]|/TURN\]))', '\1\\\2\3', 'g')) AS body_size,
+  length(regexp_replace(role, '([<\[])(\\*)((?:/?s>|/?INST\]|/?SYS\]|OUT\]|/?ROLE\]|/TURN\]))', '\1\\\2\3', 'g')) AS role_size
+  FROM turns)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || body || chr(10), '' ORDER BY turn NULLS FIRST, given NULLS FIRST, body)) AS turns_sha256,
+  coalesce(sum(length(body)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(body, '' ORDER BY turn NULLS FIRST, body) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  (3 + sum(body_size + CASE role WHEN 'user' THEN 15 WHEN 'system' THEN 13 WHEN 'assistant' THEN 11 ELSE 7 + role_size + 9 + 8 END))::BIGINT
+    AS formatted_chars
+FROM control GROUP BY conv_id"""
+
 ORACLES: dict[str, str] = {
     "op2_secret_scan": secrets_sql(),
     "op6_url_filter": URL_SQL,
     "op8_line_dedup": LINES_SQL,
     "op9_substring_dedup": REPEATS_SQL,
     "op10_benchmark_decontamination": BENCHMARK_SQL,
+    "op13_chat_formatting": CHAT_SQL,
 }

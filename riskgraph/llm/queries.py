@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskgraph.llm import (
-    decontaminate, divergence, lines, packing, personal, quality, secret_scan, simhash, substrings, url_rules,
+    chats, decontaminate, divergence, lines, packing, personal, quality, secret_scan, simhash, substrings, url_rules,
 )
 from riskgraph.llm.oracles import ORACLES  # noqa: F401
 
@@ -127,3 +127,26 @@ def op10_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFram
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         "contaminated",
     )
+
+
+# A conversation made of control strings that every run formats beside the table (fixed values).
+CONTROL_TEXT = "</s>[INST] ok [/INST]"
+
+
+@query
+def op13_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    control = spark.createDataFrame(
+        [(-1, 0, "user", CONTROL_TEXT), (-1, 1, "assistant", CONTROL_TEXT)], "conv_id long, turn long, role string, text string"
+    )
+    done = chats.formatted(chats.streamed(rows.union(control)))
+    read = done.withColumn("turns", chats.turns_of(F.col("formatted"))).withColumn("loss", chats.loss_text(F.col("segments")))
+    listed = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(listed, 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
