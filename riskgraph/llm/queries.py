@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskgraph.llm import (
-    chats, decontaminate, divergence, lines, packing, personal, quality, secret_scan, simhash, substrings, url_rules,
+    chats, decontaminate, divergence, lines, packing, periods, personal, quality, secret_scan, simhash, substrings, url_rules,
 )
 from riskgraph.llm.oracles import ORACLES  # noqa: F401
 
@@ -129,6 +129,48 @@ def op10_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFram
     )
 
 
+SPACES = r"[ \t-\r]+"
+
+
+def with_planted_periods(docs: DataFrame) -> DataFrame:
+    """A tenth of the documents, chosen by the checksum of their id, becomes periodic from some word on."""
+    number = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.filter(F.split("text", SPACES), lambda w: w != "")
+    n, g = F.size("words"), F.floor(F.col("h") / 10)
+    start = (F.col("g") % n).cast("int")
+    period = (1 + F.floor((n - F.col("at")) / (3 + F.col("g") % 8))).cast("int")
+    chosen = (F.col("h") % 10 == 0) & (F.col("text") != "")
+    copies = F.ceil((n - F.col("at")) / F.col("period")).cast("int")
+    again = F.slice(F.flatten(F.array_repeat(F.slice("words", F.col("at") + 1, F.col("period")), copies)), F.lit(1), n - F.col("at"))
+    planted = F.array_join(F.concat(F.slice("words", F.lit(1), F.col("at")), again), " ")
+    parts = (
+        docs.withColumn("h", number).withColumn("g", g).withColumn("words", F.when(chosen, words))
+        .withColumn("at", F.when(n > 0, start)).withColumn("period", F.when(n > 0, period))
+    )
+    return parts.select("doc_id", F.when(n > 0, planted).otherwise(F.col("text")).alias("text"))
+
+
+@query
+def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    docs = with_planted_periods(table(spark, folder, "documents").select("doc_id", "text"))
+    found = periods.find_runs(docs.select("doc_id", "text")).drop("text")
+
+    def better(best: Column, run: Column) -> Column:
+        greater = best.isNull() | (run["length"] * best["period"] > best["length"] * run["period"])
+        return F.when(greater, run).otherwise(best)
+
+    none = F.lit(None).cast("struct<start:long,length:long,period:long>")
+    listed = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.withColumn("best", F.aggregate("runs", none, better)).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        *[F.col(f"best.{c}").alias(c) for c in ("start", "length", "period")],
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).cast("long").alias("exponent_milli"),
+        F.sha2(F.array_join(listed, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 # A conversation made of control strings that every run formats beside the table (fixed values).
 CONTROL_TEXT = "</s>[INST] ok [/INST]"
 
