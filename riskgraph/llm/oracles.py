@@ -153,11 +153,41 @@ SELECT conv_id, count(*) AS n_turns,
     AS formatted_chars
 FROM control GROUP BY conv_id"""
 
+PHRASES_SQL = rf"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+    unnest(string_split_regex(translate(coalesce("text", ''), {A_Z}), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+words AS (SELECT lang, list_filter(string_split_regex(piece, '[ \x09]+'), lambda w: w <> '') AS w FROM pieces),
+grams AS (
+  SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase
+  FROM words, (SELECT unnest([1, 2, 3, 4, 5]) AS k) WHERE len(w) >= k),
+f AS (SELECT lang, k, phrase, count(*) AS c FROM grams GROUP BY ALL HAVING count(*) >= 100),
+totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM words GROUP BY lang),
+candidates AS (SELECT lang, phrase, k AS size, c AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+inner_phrases AS (
+  SELECT DISTINCT lang, a, unnest(flatten(list_transform(range(2, size), lambda m:
+    list_transform(range(1, size - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' '))))) AS phrase
+  FROM candidates WHERE size > 2),
+cuts AS (
+  SELECT lang, phrase, a, w, size, unnest(range(1, size)) AS cut FROM candidates c
+  WHERE NOT EXISTS (SELECT 1 FROM inner_phrases i WHERE i.lang = c.lang AND i.phrase = c.phrase AND i.a >= c.a)),
+scored AS (
+  SELECT c.lang, c.phrase, c.a, c.cut, l.c AS l, r.c AS r, t.n,
+    ((1000::HUGEINT * c.a * t.n) // (l.c::HUGEINT * r.c))::BIGINT AS score
+  FROM cuts c
+  JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[1:c.cut], ' ')
+  JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[c.cut + 1:c.size], ' ')
+  JOIN totals t ON t.lang = c.lang),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+placed AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS place FROM best)
+SELECT lang, place AS "rank", phrase, a, l, r, n, score FROM placed WHERE place <= 2000"""
+
 ORACLES: dict[str, str] = {
     "op2_secret_scan": secrets_sql(),
     "op6_url_filter": URL_SQL,
     "op8_line_dedup": LINES_SQL,
     "op9_substring_dedup": REPEATS_SQL,
     "op10_benchmark_decontamination": BENCHMARK_SQL,
+    "op11_collocations": PHRASES_SQL,
     "op13_chat_formatting": CHAT_SQL,
 }

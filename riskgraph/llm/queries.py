@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskgraph.llm import (
-    chats, decontaminate, divergence, lines, packing, periods, personal, quality, secret_scan, simhash, substrings, url_rules,
+    chats, collocations, decontaminate, divergence, lines, packing, periods, personal, quality, secret_scan, simhash, substrings, url_rules,
 )
 from riskgraph.llm.oracles import ORACLES  # noqa: F401
 
@@ -129,6 +129,11 @@ def op10_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFram
     )
 
 
+@query
+def op11_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(table(spark, folder, "documents").select("doc_id", "text", "lang"))
+
+
 SPACES = r"[ \t-\r]+"
 
 
