@@ -44,7 +44,9 @@ LOWERED = 0.5
 FILTER_WORDS = 2**21
 FILTER_BITS = 12
 # Bytes of text whose words are held at once.
-BATCH_BYTES = 3_000_000
+BATCH_BYTES = 1_000_000
+# Rows that a task hands over at once.
+ROWS = 50_000
 SALTS = 64
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 END = b"."
@@ -99,18 +101,21 @@ class Grams:
         number, distinct = pd.factorize(np.array(tokens, object))
         words = distinct.tolist()
         self.valid = [np.array([w != END for w in words], bool)[number]]
-        self.hashes: list[list[np.ndarray]] = [[], []]
-        for lane, seed in enumerate((1, 2)):
-            of_word = hashes_of(words, seed)[number]
-            now = hashes_of([x.encode() for x in self.langs], seed)[self.lang] * FACTOR + of_word
-            self.hashes[lane].append(now)
-            for k in range(1, MOST_WORDS):
-                now = now[:-1] * FACTOR + of_word[k:]
-                self.hashes[lane].append(now)
+        self.number, self.words = number, words
+        self.hashes = list(self.lane(1))
         for _ in range(1, MOST_WORDS):
             last = self.valid[-1]
             self.valid.append(last[:-1] & self.valid[0][len(self.valid[0]) - len(last) + 1 :])
 
+    def lane(self, seed: int) -> Iterator[np.ndarray]:
+        """Hashes of the phrases of one, two, ... words that start at each place."""
+        of_word = hashes_of(self.words, seed)[self.number]
+        now = hashes_of([x.encode() for x in self.langs], seed)[self.lang] * FACTOR + of_word
+        yield now
+        for k in range(1, MOST_WORDS):
+            now = now[:-1] * FACTOR + of_word[k:]
+            yield now
+
     def both(self, k: int, these: np.ndarray) -> np.ndarray:
         """Where phrases of k + 1 words lie both of whose parts of k words are in ``these``."""
         return these[:-1] & these[1:] & self.valid[k]
@@ -127,34 +132,36 @@ class Grams:
         else:
             first = [self.valid[0]]
             for k in range(1, MOST_WORDS):
-                first.append(self.both(k, known(start, self.hashes[0][k - 1])))
+                first.append(self.both(k, known(start, self.hashes[k - 1])))
         if more is None:
             return first
         out = [np.zeros(len(self.valid[0]), bool)]
         for k in range(1, MOST_WORDS):
-            reached = known(more, self.hashes[0][k - 1]) | out[k - 1]
+            reached = known(more, self.hashes[k - 1]) | out[k - 1]
             out.append(self.both(k, reached) & ~first[k])
         return out
 
     def counts(self, start: np.ndarray | int, more: np.ndarray | None) -> Iterator[pd.DataFrame]:
-        for k, chosen in enumerate(self.chosen(start, more)):
+        for k, (chosen, second) in enumerate(zip(self.chosen(start, more), self.lane(2), strict=True)):
             at = np.flatnonzero(chosen)
             if not len(at):
                 continue
-            one, two = self.hashes[0][k][at], self.hashes[1][k][at]
-            order = np.argsort(one)
-            one, two, at = one[order], two[order], at[order]
+            order = np.argsort(self.hashes[k][at])
+            at = at[order]
+            one, two = self.hashes[k][at], second[at]
             starts = np.flatnonzero(np.r_[True, (one[1:] != one[:-1]) | (two[1:] != two[:-1])])
-            at = at[starts]
+            times, at = np.diff(np.r_[starts, len(at)]), at[starts]
             tokens = self.tokens
-            yield pd.DataFrame(
-                {
-                    "lang": self.langs[self.lang[at]],
-                    "size": k + 1,
-                    "phrase": [b" ".join(tokens[i : i + k + 1]).decode() for i in at.tolist()],
-                    "n": np.diff(np.r_[starts, len(order)]),
-                }
-            )
+            for cut in range(0, len(at), ROWS):
+                some = at[cut : cut + ROWS]
+                yield pd.DataFrame(
+                    {
+                        "lang": self.langs[self.lang[some]],
+                        "size": k + 1,
+                        "phrase": [b" ".join(tokens[i : i + k + 1]).decode() for i in some.tolist()],
+                        "n": times[cut : cut + ROWS],
+                    }
+                )
         if more is None:
             total = np.bincount(self.lang[self.valid[0]], minlength=len(self.langs))
             yield pd.DataFrame({"lang": self.langs, "size": 0, "phrase": "", "n": total})
