@@ -3,16 +3,18 @@
 Toivonen's mining. A sample of the texts, searched with a lowered least count, proposes
 phrases. One pass over all texts then counts every word and every phrase whose parts without
 the last and without the first word are proposed: the proposed phrases and their negative
-border, exactly. A border phrase that turns out to be frequent is a failure of the sample.
-If there are any, an expansion pass counts the phrases that were left out although both of
-those parts are frequent or are counted in this very pass. As parts of a frequent phrase are
-frequent, that reaches every frequent phrase, by induction over its length; nothing is left
-after it. So the sample decides what is counted first, never what is found.
-
-Tasks know the proposed phrases as a bit filter of at most FILTER_WORDS longs, whatever
+border. A border phrase that turns out to be frequent is a failure of the sample. If there
+are any, an expansion pass counts the phrases that were left out although both of those parts
+are frequent or are counted in this very pass. As parts of a frequent phrase are frequent,
+that reaches every frequent phrase, by induction over its length; nothing is left after it.
+So the sample decides what is counted first, never what is found.
+
+The border is mostly rare phrases, so it is counted by 64-bit hashes, without texts. A count
+of a hash is never too small. What it calls frequent is counted again, exactly and by the
+phrases themselves, in the pass that also does the expansion; so hashes decide nothing
+either. Tasks know sets of phrases as bit filters of at most FILTER_WORDS longs, whatever
 their number; phrases that pass by chance are counted too, which costs time and changes
-nothing. Counts are summed in the tasks first, with phrases told apart by two 64-bit hashes,
-and between tasks by the phrases themselves.
+nothing. Counts are summed in the tasks first.
 
 Texts: A-Z are lower-cased; pieces end at . , ; : ! ? and line breaks; words are what spaces
 and tabs leave of them. Phrases lie within pieces. Everything is counted per language, a null
@@ -39,14 +41,12 @@ LEAST_COUNT = 100
 TOP = 2000
 # Share of the texts in the sample, and of the expected count that the sample asks for.
 SAMPLE_SHARE = 0.1
-LOWERED = 0.5
+LOWERED = 0.9
 # Longs in the filter of known phrases, at most, and bits for each phrase below that.
 FILTER_WORDS = 2**21
 FILTER_BITS = 12
 # Bytes of text whose words are held at once.
 BATCH_BYTES = 1_000_000
-# Rows that a task hands over at once.
-ROWS = 50_000
 SALTS = 64
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 END = b"."
@@ -74,16 +74,6 @@ def known(filter_: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return filter_[place] & bits == bits
 
 
-def phrase_hashes(langs: list[str], phrases: list[str]) -> np.ndarray:
-    """First hash of each phrase, as ``Grams`` has it."""
-    out = hashes_of([lang.encode() for lang in langs], 1)
-    parts = [p.encode().split(b" ") for p in phrases]
-    for k in range(MOST_WORDS):
-        at = [i for i, words in enumerate(parts) if len(words) > k]
-        out[at] = out[at] * FACTOR + hashes_of([parts[i][k] for i in at], 1)
-    return out
-
-
 class Grams:
     """All words of some texts in a row, with hashes of the phrases that start at each."""
 
@@ -141,30 +131,36 @@ class Grams:
             out.append(self.both(k, reached) & ~first[k])
         return out
 
-    def counts(self, start: np.ndarray | int, more: np.ndarray | None) -> Iterator[pd.DataFrame]:
-        for k, (chosen, second) in enumerate(zip(self.chosen(start, more), self.lane(2), strict=True)):
-            at = np.flatnonzero(chosen)
+    def hash_counts(self, start: np.ndarray | int, more: np.ndarray | None) -> Iterator[pd.DataFrame]:
+        """Counts of the chosen phrases by hash."""
+        chosen = [h[at] for h, at in zip(self.hashes, self.chosen(start, more), strict=True)]
+        hashes, times = np.unique(np.concatenate(chosen), return_counts=True)
+        yield pd.DataFrame({"hash": hashes.view(np.int64), "n": times})
+
+    def phrase_counts(self, start: np.ndarray, frequent: np.ndarray, expand: bool) -> Iterator[pd.DataFrame]:
+        """Counts of the phrases in ``frequent``, of those the expansion reaches, and of all words."""
+        chosen = [at & known(frequent, h) for at, h in zip(self.chosen(start, None), self.hashes, strict=True)]
+        if expand:
+            chosen = [a | b for a, b in zip(chosen, self.chosen(start, frequent), strict=True)]
+        for k, (places, second) in enumerate(zip(chosen, self.lane(2), strict=True)):
+            at = np.flatnonzero(places)
             if not len(at):
                 continue
-            order = np.argsort(self.hashes[k][at])
-            at = at[order]
+            at = at[np.argsort(self.hashes[k][at])]
             one, two = self.hashes[k][at], second[at]
             starts = np.flatnonzero(np.r_[True, (one[1:] != one[:-1]) | (two[1:] != two[:-1])])
             times, at = np.diff(np.r_[starts, len(at)]), at[starts]
             tokens = self.tokens
-            for cut in range(0, len(at), ROWS):
-                some = at[cut : cut + ROWS]
-                yield pd.DataFrame(
-                    {
-                        "lang": self.langs[self.lang[some]],
-                        "size": k + 1,
-                        "phrase": [b" ".join(tokens[i : i + k + 1]).decode() for i in some.tolist()],
-                        "n": times[cut : cut + ROWS],
-                    }
-                )
-        if more is None:
-            total = np.bincount(self.lang[self.valid[0]], minlength=len(self.langs))
-            yield pd.DataFrame({"lang": self.langs, "size": 0, "phrase": "", "n": total})
+            yield pd.DataFrame(
+                {
+                    "lang": self.langs[self.lang[at]],
+                    "size": k + 1,
+                    "phrase": [b" ".join(tokens[i : i + k + 1]).decode() for i in at.tolist()],
+                    "n": times,
+                }
+            )
+        total = np.bincount(self.lang[self.valid[0]], minlength=len(self.langs))
+        yield pd.DataFrame({"lang": self.langs, "size": 0, "phrase": "", "n": total})
 
 
 def parts_of(text: bytes) -> Iterator[bytes]:
@@ -196,32 +192,44 @@ def batches_of(frames: Iterator[pd.DataFrame]) -> Iterator[Grams]:
         yield Grams(texts, langs)
 
 
-def counts(texts: DataFrame, least: int, start: Broadcast | int, more: Broadcast | None = None) -> DataFrame:
-    """lang, size, phrase, n: counted phrases with n >= least, and the number of words (size 0)."""
+def hash_counts(texts: DataFrame, least: int, start: Broadcast | int, more: Broadcast | None = None) -> DataFrame:
+    """hash, n: chosen phrases (see ``Grams.chosen``) whose hash occurs at least ``least`` times."""
 
     def compute(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         first = start if isinstance(start, int) else start.value
         for grams in batches_of(frames):
-            yield from grams.counts(first, more and more.value)
+            yield from grams.hash_counts(first, more and more.value)
+
+    rows = texts.mapInPandas(compute, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
+    return materialize(rows.filter(F.col("n") >= least), "hash-counts")
+
+
+def phrase_counts(texts: DataFrame, least: int, start: Broadcast, frequent: Broadcast, expand: bool) -> DataFrame:
+    """lang, size, phrase, n: phrases with n >= least, and the number of words of each language (size 0)."""
+
+    def compute(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for grams in batches_of(frames):
+            yield from grams.phrase_counts(start.value, frequent.value, expand)
 
     rows = texts.mapInPandas(compute, ROW).groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n"))
-    return materialize(rows.filter((F.col("size") == 0) | (F.col("n") >= least)), "phrase-counts")
+    return rows.filter((F.col("size") == 0) | (F.col("n") >= least))
 
 
-def filter_of(phrases: DataFrame, most_words: int) -> Broadcast:
-    """The bit filter of phrases (lang, phrase); its bits are united by an aggregation."""
-    n_words = min(most_words, max(64, phrases.count() * FILTER_BITS // 64))
+def filter_of(hashes: DataFrame, most_words: int) -> Broadcast:
+    """The bit filter of a column of hashes; its bits are united by an aggregation."""
+    n_words = min(most_words, max(64, hashes.count() * FILTER_BITS // 64))
 
     def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            at, bits = places_in_filter(phrase_hashes(frame["lang"].tolist(), frame["phrase"].tolist()), n_words)
+            at, bits = places_in_filter(frame["hash"].to_numpy(np.int64).view(np.uint64), n_words)
             yield pd.DataFrame({"place": at, "bits": bits.view(np.int64)})
 
-    rows = phrases.select("lang", "phrase").mapInPandas(place, "place long, bits long")
+    rows = hashes.select("hash").mapInPandas(place, "place long, bits long")
+    # At most ``most_words`` rows, by the bound on the filter.
     united = rows.groupBy("place").agg(F.bit_or("bits").alias("bits")).toPandas()
     out = np.zeros(n_words, np.uint64)
     out[united["place"]] = united["bits"].to_numpy(np.int64).view(np.uint64)
-    return phrases.sparkSession.sparkContext.broadcast(out)
+    return hashes.sparkSession.sparkContext.broadcast(out)
 
 
 def frequent_phrases(
@@ -232,17 +240,12 @@ def frequent_phrases(
     ``texts`` and ``sampled`` have lang and text (binary); the sample may be any texts at all.
     """
     lowered = sample_least or max(2, int(least * SAMPLE_SHARE * LOWERED))
-    short = counts(sampled, lowered, 2)
-    seeds = filter_of(short.filter("size > 0"), filter_words)
-    long = counts(sampled, lowered, 2, seeds)
-    proposed = short.union(long).filter("size > 0")
-    start = filter_of(proposed.filter(F.col("size") < MOST_WORDS), filter_words)
-    found = counts(texts, least, start)
-    failures = found.filter((F.col("size") > 0) & (F.col("size") < MOST_WORDS)).join(proposed, ["lang", "phrase"], "left_anti")
-    if failures.limit(1).count():
-        more = filter_of(found.filter((F.col("size") > 0) & (F.col("size") < MOST_WORDS)), filter_words)
-        found = found.union(counts(texts, least, start, more))
-    return found
+    short = hash_counts(sampled, lowered, 2)
+    proposed = short.union(hash_counts(sampled, lowered, 2, filter_of(short, filter_words)))
+    start = filter_of(proposed, filter_words)
+    frequent = hash_counts(texts, least, start)
+    failures = frequent.join(proposed, "hash", "left_anti").limit(1).count()
+    return phrase_counts(texts, least, start, filter_of(frequent, filter_words), failures > 0)
 
 
 def collocations(
