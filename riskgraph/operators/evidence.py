@@ -1,7 +1,7 @@
 """Case-level statistical evidence for a review queue.
 
 The store is turned into one row per (component, feature) for the few globally important
-features. Means and deviations come from one wide aggregation over the whole store;
+features. Means and deviations come from one aggregation over the whole store;
 percentiles from one ordered pass over the distinct values of each feature, so a value
 that most components share is one row in the ordering.
 """
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from riskgraph.errors import IntegrityError
 from riskgraph.functions import review
 from riskgraph.functions.labels import column, require_columns
+from riskgraph.operators import wide
 from riskgraph.operators.linking import require_unique
 from riskgraph.operators.ordering import running_totals
 from riskgraph.operators.ranking import top_importance
@@ -37,48 +38,28 @@ def candidate_features(importance: DataFrame, store: DataFrame, top_n: int = 15)
 
 def long_values(store: DataFrame, features: Sequence[str]) -> DataFrame:
     """``component_id, feature, value`` with NaN read as missing."""
-    typed = [
-        F.when(~F.isnan(column(f).cast("double")), column(f).cast("double")).alias(f) for f in features
-    ]
-    return store.select("component_id", *typed).unpivot(
-        ["component_id"], [column(f) for f in features], "feature", "value"
-    )
+    rows = wide.cells(store, features, ["component_id"], wide.without_nan)
+    return rows.select("component_id", wide.name_of(features).alias("feature"), F.col(wide.VALUE).alias("value"))
 
 
 def feature_moments(store: DataFrame, features: Sequence[str]) -> DataFrame:
     """``feature, mean, sd, n`` over the whole store: one row per feature."""
-    aggs, entries = [], []
-    for i, name in enumerate(features):
-        raw = column(name).cast("double")
-        value = F.when(~F.isnan(raw), raw)
-        aggs += [
-            F.avg(value).alias(f"m{i}"),
-            F.stddev_pop(value).alias(f"s{i}"),
-            F.count(value).alias(f"n{i}"),
-        ]
-        entries.append(
-            F.struct(
-                F.lit(name).alias("feature"),
-                F.col(f"m{i}").alias("mean"),
-                F.col(f"s{i}").alias("sd"),
-                F.col(f"n{i}").alias("n"),
-            )
-        )
-    return store.agg(*aggs).select(F.inline(F.array(*entries)))
+    return wide.moments(store, features).select("feature", "mean", "sd", "n")
 
 
 def feature_zscores(store: DataFrame, features: Sequence[str]) -> DataFrame:
     """``component_id, feature, value, zscore``; 0 where the deviation is 0 or not finite."""
-    z = (F.col("value") - F.col("mean")) / F.nullif(F.col("sd"), F.lit(0.0))
+    value = F.col(wide.VALUE)
+    z = (value - F.col("mean")) / F.nullif(F.col("sd"), F.lit(0.0))
     finite = ~F.isnan(z) & (F.abs(z) != float("inf"))
     # One moment row per named feature.
     return (
-        long_values(store, features)
-        .join(F.broadcast(feature_moments(store, features)), "feature")
+        wide.cells(store, features, ["component_id"], wide.without_nan)
+        .join(F.broadcast(wide.moments(store, features)), wide.PLACE)
         .select(
             "component_id",
             "feature",
-            "value",
+            value.alias("value"),
             F.coalesce(F.when(finite, z), F.lit(0.0)).alias("zscore"),
         )
     )

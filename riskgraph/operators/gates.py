@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskgraph.functions.labels import column, numeric_features
+from riskgraph.functions.labels import numeric_features
+from riskgraph.operators import wide
 from riskgraph.operators.profile import one_row
 
 # Limits of the validation checks.
@@ -21,35 +22,28 @@ GATE_BUDGET = 0.005
 
 
 def class_separation(store: DataFrame, features: Sequence[str] | None = None) -> DataFrame:
-    """Mean per class and standardised difference of every feature, widest first.
-
-    One wide aggregation over the store, then one row per feature.
-    """
+    """Mean per class and standardised difference of every feature, widest first."""
     names = list(features) if features is not None else numeric_features(store)
-    aggs, entries = [], []
-    for i, name in enumerate(names):
-        value = column(name).cast("double")
-        aggs += [
-            F.avg(F.when(F.col("label") == 0, value)).alias(f"n{i}"),
-            F.avg(F.when(F.col("label") == 1, value)).alias(f"p{i}"),
-            F.stddev_pop(value).alias(f"s{i}"),
-        ]
-        spread = F.nullif(F.col(f"s{i}"), F.lit(0.0))
-        entries.append(
-            F.struct(
-                F.lit(name).alias("feature"),
-                F.col(f"n{i}").alias("licit_mean"),
-                F.col(f"p{i}").alias("suspicious_mean"),
-                F.coalesce((F.col(f"p{i}") - F.col(f"n{i}")) / spread, F.lit(0.0)).alias(
-                    "standardized_mean_difference"
-                ),
-            )
-        )
-    size = F.abs("standardized_mean_difference")
+    value = F.col(wide.VALUE)
+    stats = wide.per_feature(
+        store,
+        names,
+        [
+            F.avg(F.when(F.col("label") == 0, value)).alias("licit_mean"),
+            F.avg(F.when(F.col("label") == 1, value)).alias("suspicious_mean"),
+            F.stddev_pop(value).alias("sd"),
+        ],
+        keep=["label"],
+    )
+    difference = (F.col("suspicious_mean") - F.col("licit_mean")) / F.nullif(F.col("sd"), F.lit(0.0))
     return (
-        store.agg(*aggs)
-        .select(F.inline(F.array(*entries)))
-        .withColumn("abs_standardized_mean_difference", size)
+        stats.select(
+            "feature",
+            "licit_mean",
+            "suspicious_mean",
+            F.coalesce(difference, F.lit(0.0)).alias("standardized_mean_difference"),
+        )
+        .withColumn("abs_standardized_mean_difference", F.abs("standardized_mean_difference"))
         .orderBy(F.desc("abs_standardized_mean_difference"), "feature")
     )
 

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskgraph.functions.labels import clean_text, column, numeric_features, target_like
+from riskgraph.operators import wide
 from riskgraph.operators.linking import edge_component_map
 
 
@@ -99,25 +100,23 @@ def store_summary_by_label(store: DataFrame, accuracy: int = MEDIAN_ACCURACY) ->
 
 
 def null_counts(store: DataFrame, features: Sequence[str] | None = None) -> DataFrame:
-    """NULLs per feature column: one wide pass, then one row per feature."""
+    """NULLs per feature column, one row per feature."""
     names = [c for c in store.columns if c not in ("component_id", "label")]
     names = list(features) if features is not None else names
-    counted = store.agg(*[F.count_if(column(c).isNull()).alias(c) for c in names])
-    return counted.unpivot([], [column(c) for c in names], "feature", "nulls")
+    nulls = F.count_if(wide.VALUE).alias("nulls")
+    counted = wide.per_feature(store, names, [nulls], of=Column.isNull)
+    return counted.select("feature", F.coalesce("nulls", F.lit(0)).alias("nulls"))
 
 
 def column_coverage(df: DataFrame, names: Sequence[str]) -> DataFrame:
     """Ordinal, name and non-NULL rows of the given columns."""
-    counted = df.agg(*[F.count(column(c)).alias(c) for c in names])
-    entries = [
-        F.struct(
-            F.lit(i).cast("long").alias("ordinal"),
-            F.lit(c).alias("feature"),
-            column(c).alias("non_null_rows"),
-        )
-        for i, c in enumerate(names, 1)
-    ]
-    return counted.select(F.inline(F.array(*entries)))
+    filled = F.count_if(wide.VALUE).alias("filled")
+    counted = wide.per_feature(df, names, [filled], of=Column.isNotNull)
+    return counted.select(
+        (F.col(wide.PLACE) + 1).cast("long").alias("ordinal"),
+        "feature",
+        F.coalesce("filled", F.lit(0)).alias("non_null_rows"),
+    )
 
 
 def target_name_columns(df: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -132,20 +131,10 @@ def one_row(parts: Sequence[DataFrame]) -> DataFrame:
 
 
 def nonfinite_count(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    """NULL, NaN and infinite cells over all feature columns, in one pass.
-
-    One counter per column: a single sum over hundreds of columns would be too long for one
-    generated method.
-    """
-
-    def bad(name: str):
-        value = column(name).cast("double")
-        return value.isNull() | F.isnan(value) | (F.abs(value) == float("inf"))
-
-    counted = df.agg(*[F.count_if(bad(c)).alias(f"c{i}") for i, c in enumerate(features)])
-    counters = F.array(*[F.col(f"c{i}") for i in range(len(features))])
-    total = F.aggregate(counters, F.lit(0).cast("long"), lambda acc, n: acc + n)
-    return counted.select(total.alias("nonfinite_values"))
+    """NULL, NaN and infinite cells over all feature columns, in one pass."""
+    value = F.col(wide.VALUE)
+    bad = value.isNull() | F.isnan(value) | (F.abs(value) == float("inf"))
+    return wide.cells(df, features).agg(F.count_if(bad).alias("nonfinite_values"))
 
 
 def filtered_counts(components: DataFrame) -> DataFrame:
