@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskgraph.functions.labels import prefixed_features, renamed_features
+from riskgraph.functions.labels import column, prefixed_features, renamed_features
 from riskgraph.operators import linking
 from riskgraph.operators.enrich import match_node_features, node_match_audit
 from riskgraph.operators.models import FittedLogistic, fit_logistic, train_test
@@ -74,28 +76,59 @@ def graph_dataset_profile(
 GRAPH_GATE = ("hard_failures", "dropped_edge_rows")
 
 
-def _received_means(
-    nodes: DataFrame, edges: DataFrame, features: Sequence[str], reverse: bool, prefix: str
-) -> DataFrame:
-    """``node_id`` and the mean features of its senders, for nodes that have any."""
+def with_vector(nodes: DataFrame, features: Sequence[str]) -> DataFrame:
+    """``node_id, component_id`` and the features as one array of doubles."""
+    values = F.array(*[column(f).cast("double") for f in features])
+    return nodes.select("node_id", "component_id", values.alias("vector"))
+
+
+def with_columns(vectors: DataFrame, names: Sequence[str]) -> DataFrame:
+    """The entries of ``vector`` as columns again."""
+    kept = [c for c in vectors.columns if c != "vector"]
+    return vectors.select(*kept, *[F.get("vector", F.lit(i)).alias(n) for i, n in enumerate(names)])
+
+
+def _means(vector: str, width: int, open_width: int) -> tuple[Column, Callable[[Column], Column]]:
+    """A column of dense vectors whose mean is taken per group, and what turns the mean back.
+
+    Only the first ``open_width`` entries may be NULL; each has a flag behind the entries, and
+    the mean over the rows that have it is the mean entry over the mean flag. No such row: 0.
+    """
+    filled = F.transform(vector, lambda x: F.coalesce(x, F.lit(0.0)))
+    flags = F.transform(F.slice(vector, 1, open_width), lambda x: F.when(x.isNull(), 0.0).otherwise(1.0))
+
+    def read(mean: Column) -> Column:
+        entries = vector_to_array(mean)
+        return F.concat(
+            F.zip_with(
+                F.slice(entries, 1, open_width),
+                F.slice(entries, width + 1, open_width),
+                lambda x, flag: F.coalesce(x / F.nullif(flag, F.lit(0.0)), F.lit(0.0)),
+            ),
+            F.slice(entries, open_width + 1, width - open_width),
+        )
+
+    return array_to_vector(F.concat(filled, flags)), read
+
+
+def _received_means(vectors: DataFrame, edges: DataFrame, width: int, open_width: int, reverse: bool) -> DataFrame:
+    """``receiver, mean``: the mean vector of its senders, for nodes that have any."""
     sender, receiver = "source_node_id", "target_node_id"
     if reverse:
         sender, receiver = receiver, sender
+    packed, read = _means("vector", width, open_width)
     sent = edges.select(F.col(sender).alias("node_id"), F.col(receiver).alias("receiver")).join(
-        nodes.select("node_id", *features), "node_id"
-    )
-    return sent.groupBy(F.col("receiver").alias("node_id")).agg(
-        *[F.avg(f).alias(f"{prefix}{f}") for f in features]
+        vectors.select("node_id", packed.alias("packed")), "node_id"
     )
+    means = sent.groupBy("receiver").agg(Summarizer.mean(F.col("packed")).alias("mean"))
+    return means.select("receiver", read(F.col("mean")).alias("mean"))
 
 
-def _with_means(nodes: DataFrame, means: Sequence[DataFrame]) -> DataFrame:
-    """Nodes with their received means, 0 where a node received nothing."""
-    joined = reduce(lambda a, b: a.join(b, "node_id", "left"), means, nodes)
-    added = [c for df in means for c in df.columns if c != "node_id"]
-    return joined.select(
-        *nodes.columns, *[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in added]
-    )
+def _joined_mean(vectors: DataFrame, means: DataFrame, name: str, width: int) -> DataFrame:
+    """``vectors`` with the received mean, zeros where a node received nothing."""
+    joined = vectors.join(means, vectors["node_id"] == means["receiver"], "left")
+    zeros = F.array_repeat(F.lit(0.0), width)
+    return joined.select(*vectors.columns, F.coalesce("mean", zeros).alias(name))
 
 
 def neighbor_mean(
@@ -103,47 +136,82 @@ def neighbor_mean(
 ) -> DataFrame:
     """Per node, the mean of its in-neighbours' features (out-neighbours when ``reverse``).
 
-    A parallel edge counts its source again; a node without neighbours gets 0. Means are
-    combined before the shuffle, so a hub costs one row per task.
+    A parallel edge counts its source again; a node without neighbours gets 0, and so does a
+    feature that is NULL in all of them. Vectors are folded entry by entry before the shuffle,
+    so a hub costs one row per task.
     """
-    means = _received_means(nodes, edges, features, reverse, prefix)
-    return _with_means(nodes.select("node_id", "component_id"), [means])
+    vectors, width = with_vector(nodes, features), len(features)
+    means = _received_means(vectors, edges, width, width, reverse)
+    joined = _joined_mean(vectors.select("node_id", "component_id"), means, "vector", width)
+    return with_columns(joined, [f"{prefix}{f}" for f in features])
 
 
-def khop_dual_channel(
+def khop_vectors(
     nodes: DataFrame, edges: DataFrame, features: Sequence[str], layers: int = 2
-) -> DataFrame:
-    """Own, forward and reverse vectors joined at every hop: 3**layers columns per feature.
+) -> tuple[DataFrame, list[str]]:
+    """``node_id, component_id, vector`` after ``layers`` hops, and the names of the entries.
 
-    Hop h prefixes its columns with ``in<h>_`` and ``out<h>_``. Each hop is written out, so
-    the next one starts from a table instead of a growing lineage.
+    Every hop sets the own, forward and reverse vectors behind each other, so there are
+    3**layers entries per feature, but one array column at any width. A hop shuffles each
+    direction's folded messages once and is written out, so the next one starts from a table.
     """
     if layers < 1:
         raise ValueError("layers must be at least 1")
-    current, names = nodes.select("node_id", "component_id", *features), list(features)
+    current, names = with_vector(nodes, features), list(features)
     for hop in range(1, layers + 1):
-        forward = _received_means(current, edges, names, False, f"in{hop}_")
-        backward = _received_means(current, edges, names, True, f"out{hop}_")
-        current = materialize(_with_means(current, [forward, backward]), "hop")
-        names = [c for c in current.columns if c not in ("node_id", "component_id")]
-    return current
+        width = len(names)
+        joined = current
+        for name, reverse in (("forward", False), ("backward", True)):
+            means = _received_means(current, edges, width, len(features), reverse)
+            joined = _joined_mean(joined, means, name, width)
+        vector = F.concat("vector", "forward", "backward").alias("vector")
+        current = materialize(joined.select("node_id", "component_id", vector), "hop")
+        names += [f"{way}{hop}_{n}" for way in ("in", "out") for n in names]
+    return current, names
+
+
+def khop_dual_channel(
+    nodes: DataFrame, edges: DataFrame, features: Sequence[str], layers: int = 2
+) -> DataFrame:
+    """The vectors of ``khop_vectors`` as columns; hop h prefixes them with ``in<h>_`` and ``out<h>_``."""
+    return with_columns(*khop_vectors(nodes, edges, features, layers))
+
+
+def mean_max_vectors(vectors: DataFrame, width: int) -> DataFrame:
+    """``component_id, vector``: means, then maxima, of each entry; NULL where all nodes have NULL."""
+    lowest = float("-inf")
+    filled = F.transform("vector", lambda x: F.coalesce(x, F.lit(lowest)))
+    present = F.transform("vector", lambda x: F.when(x.isNull(), 0.0).otherwise(1.0))
+    zeros = F.transform("vector", lambda x: F.coalesce(x, F.lit(0.0)))
+    packed = vectors.select(
+        "component_id",
+        array_to_vector(filled).alias("filled"),
+        array_to_vector(F.concat(zeros, present)).alias("packed"),
+    )
+    pooled = packed.groupBy("component_id").agg(
+        vector_to_array(Summarizer.mean(F.col("packed"))).alias("mean"),
+        vector_to_array(Summarizer.max(F.col("filled"))).alias("max"),
+    )
+    means = F.zip_with(
+        F.slice("mean", 1, width), F.slice("mean", width + 1, width), lambda x, flag: x / F.nullif(flag, F.lit(0.0))
+    )
+    return pooled.select(
+        "component_id", F.concat(means, F.transform("max", lambda x: F.nullif(x, F.lit(lowest)))).alias("vector")
+    )
 
 
 def graph_mean_max_pool(nodes: DataFrame, features: Sequence[str]) -> DataFrame:
     """Per component, the mean and the maximum of each node feature."""
-    return nodes.groupBy("component_id").agg(
-        *[F.avg(f).alias(f"mean_{f}") for f in features],
-        *[F.max(f).alias(f"max_{f}") for f in features],
-    )
+    pooled = mean_max_vectors(with_vector(nodes, features), len(features))
+    return with_columns(pooled, [f"{way}_{f}" for way in ("mean", "max") for f in features])
 
 
 def graph_component_features(
     graph: dict[str, DataFrame], features: Sequence[str], layers: int = 2
 ) -> DataFrame:
     """Pooled hop features for every labelled component, 0 for one without nodes."""
-    hops = khop_dual_channel(graph["nodes"], graph["edges"], features, layers)
-    names = [c for c in hops.columns if c not in ("node_id", "component_id")]
-    pooled = graph_mean_max_pool(hops, names)
+    hops, names = khop_vectors(graph["nodes"], graph["edges"], features, layers)
+    pooled = with_columns(mean_max_vectors(hops, len(names)), [f"{way}_{n}" for way in ("mean", "max") for n in names])
     labelled = graph["components"].filter("label IS NOT NULL")
     return labelled.join(pooled, "component_id", "left").fillna(0.0)
 
