@@ -97,16 +97,6 @@ def test_calibration_keeps_or_flattens_the_ranking(store):
     assert sigmoid == sorted(sigmoid) and isotonic == sorted(isotonic)
 
 
-def test_isotonic_small_case(spark):
-    schema = "component_id long, label int, risk_score double"
-    cal = spark.createDataFrame(
-        [(1, 0, 0.1), (2, 1, 0.2), (3, 0, 0.3), (4, 1, 0.4), (5, 1, 0.4)], schema
-    )
-    ask = spark.createDataFrame([(9, 0, s) for s in (0.0, 0.15, 0.25, 0.35, 0.9)], schema)
-    out = [r.risk_score for r in models.isotonic_calibration(cal, ask).collect()]
-    assert out == pytest.approx([0.0, 0.25, 0.5, 0.75, 1.0])
-
-
 def test_repeated_splits_and_shuffled_labels(store):
     scored = models.repeated_splits(store, seeds=(11, 23), trees=10)
     quality = metrics.ranking_and_brier(scored, ("seed", "model")).collect()
