@@ -7,15 +7,18 @@ group and distinct score, so tied cases never meet in one task.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType, NumericType
 
 from riskgraph.errors import IntegrityError
 from riskgraph.functions.bins import bin_edges, bin_index, bin_names
 from riskgraph.operators.ordering import global_rank, running_totals
 from riskgraph.operators.ranking import score_order
+from riskgraph.operators.selection import first_sums
 
 # Shares of the ranking that can be reviewed, and the log-loss clip.
 BUDGETS = (0.005, 0.01, 0.02, 0.05, 0.10)
@@ -34,10 +37,52 @@ def budget_size(n: Column, fraction: float) -> Column:
 def review_budget_metrics(
     scored: DataFrame, fractions: Sequence[float] = BUDGETS, group: str | Sequence[str] = "model"
 ) -> DataFrame:
-    """Captured positives, precision, recall and lift in the top share of each ranking."""
-    if scored.isEmpty():
-        raise IntegrityError("no scored cases")
+    """Captured positives, precision, recall and lift in the top share of each ranking.
+
+    The top rows are found by narrowing ranges of scores, and of ids among tied scores, so
+    that no ranking is sorted. Ids that are not whole numbers, and scores that are NULL or NaN,
+    are ranked instead.
+    """
     keys = _keys(group)
+    score = F.col("risk_score")
+    groups = scored.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("__n"),
+        F.sum("label").alias("__positives"),
+        F.min("risk_score").alias("low"),
+        F.max("risk_score").alias("high"),
+        F.count_if(score.isNull() | F.isnan(score.cast("double")) | F.col("component_id").isNull()).alias("open"),
+    ).collect()
+    if not groups:
+        raise IntegrityError("no scored cases")
+    countable = isinstance(scored.schema["component_id"].dataType, IntegralType)
+    if countable and isinstance(scored.schema["risk_score"].dataType, NumericType) and not any(g.open for g in groups):
+        rows = _counted_shares(scored, keys, fractions, groups)
+    else:
+        rows = _ranked_shares(scored, keys, fractions)
+    return _share_metrics(rows, keys)
+
+
+def _counted_shares(scored: DataFrame, keys: list[str], fractions: Sequence[float], groups: list) -> DataFrame:
+    """Group, size, positives, share, reviewed and captured cases: one row per group and share."""
+    named = {tuple(g[c] for c in keys): g for g in groups}
+    sizes = {
+        name: [max(1, min(g["__n"], math.ceil(g["__n"] * float(f)))) for f in fractions] for name, g in named.items()
+    }
+    ranges = {name: (g.low, g.high) for name, g in named.items()}
+    captured = first_sums(scored, keys, "risk_score", "component_id", "label", sizes, ranges)
+    made = [
+        (*name, g["__n"], g["__positives"], float(f), sizes[name][i], captured[name][i])
+        for name, g in named.items()
+        for i, f in enumerate(fractions)
+    ]
+    kinds = ", ".join(f"`{c}` {scored.schema[c].dataType.simpleString()}" for c in keys)
+    return scored.sparkSession.createDataFrame(
+        made, f"{kinds}, __n long, __positives long, review_fraction double, reviews long, suspicious_captured long"
+    )
+
+
+def _ranked_shares(scored: DataFrame, keys: list[str], fractions: Sequence[float]) -> DataFrame:
+    """The same from a full ranking."""
     ranked = global_rank(scored, score_order(), keys, rank="__rank", total="__n")
     captured = [
         F.sum(F.when(F.col("__rank") <= budget_size(F.col("__n"), f), F.col("label")).otherwise(0)).alias(
@@ -56,7 +101,10 @@ def review_budget_metrics(
         )
         for i, f in enumerate(fractions)
     ]
-    rows = sums.select(*keys, "__n", "__positives", F.inline(F.array(*entries)))
+    return sums.select(*keys, "__n", "__positives", F.inline(F.array(*entries)))
+
+
+def _share_metrics(rows: DataFrame, keys: list[str]) -> DataFrame:
     base = F.col("__positives") / F.col("__n")
     precision = F.col("suspicious_captured") / F.col("reviews")
     some = F.col("__positives") > 0

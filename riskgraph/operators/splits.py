@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskgraph.operators.ordering import global_rank
+from riskgraph.operators.selection import hash_cuts
 
 
 def hash_order(seed: Column | int, salt: str = "") -> Column:
@@ -47,15 +48,14 @@ def stratified_split(
 ) -> DataFrame:
     """``store`` with a boolean column that marks the held-out rows.
 
-    Only ids and labels are ordered, to find the last held-out row of each class. Those cut
-    points (one per class) then mark the rows in place: a store with hundreds of columns is
-    neither shuffled nor written.
+    The last held-out row of each class is found by counting ids under prefixes of their hash;
+    nothing is sorted. Those cut points (one per class) then mark the rows in place: a store
+    with hundreds of columns is neither shuffled nor written.
     """
     ids = store.select("component_id", "label").withColumn("__order", hash_order(seed))
-    ranked = global_rank(ids, [F.col("__order").asc(), F.col("component_id").asc()], ["label"], "__rank")
-    # One quota row per label value: the labels are 0 and 1.
-    quotas = F.broadcast(class_quotas(ids, fraction))
-    cuts = ranked.join(quotas, "label").filter(F.col("__rank") == F.col("quota")).collect()
+    # One quota per label value: the labels are 0 and 1.
+    quotas = {r.label: r.quota for r in class_quotas(ids, fraction).collect() if r.label is not None}
+    cuts = hash_cuts(ids, quotas, "label", "__order", "component_id")
     order, held = hash_order(seed), F.lit(False)
     for cut in cuts:
         before = (order < cut["__order"]) | (
