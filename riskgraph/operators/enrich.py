@@ -3,8 +3,9 @@
 The background table is scanned once and only its key and feature columns are read. The
 labelled keys are counted before the join: up to ``BROADCAST_ROWS`` keys (a few hundred
 megabytes at most) they are sent to every executor and the background table never moves.
-Beyond that both sides are shuffled on the key, with Spark's run-time bloom filter
-free to drop background rows early and adaptive execution free to split a hot key.
+Beyond that a bit sketch of the keys, of at most ``SKETCH_ROWS`` short rows, is sent instead:
+it drops the background rows whose key is in no labelled set (all but a few in a hundred)
+before both sides are shuffled on the key. Adaptive execution may split a hot key there.
 """
 
 from __future__ import annotations
@@ -31,14 +32,44 @@ FEATURES_PER_PASS = 11
 STATISTICS = (("mean", F.avg), ("sd", F.stddev_pop), ("min", F.min), ("max", F.max))
 
 
-def within_broadcast_size(keys: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
-    """Count the keys; the large side is not touched."""
-    return keys.count() <= limit
+# Rows of a key sketch, at most, each a number and 64 bits, and bits for each key below that.
+SKETCH_ROWS = 2**20
+SKETCH_BITS = 16
+
+
+def _sketch_place(on: Sequence[str], rows: int) -> tuple[Column, Column]:
+    """The sketch row of a key, and its two bits there; both from different bits of one hash."""
+    number = F.xxhash64(*on)
+    one = F.lit(1).cast("long")
+
+    def bit(at: int) -> Column:
+        return F.call_function("shiftleft", one, F.shiftrightunsigned(number, at).bitwiseAND(F.lit(63)).cast("int"))
+
+    return F.pmod(number, F.lit(rows)).cast("int"), bit(26).bitwiseOR(bit(40))
+
+
+def key_sketch(keys: DataFrame, on: Sequence[str], rows: int) -> DataFrame:
+    """``__place, __bits``: the bits of all keys, united; at most ``rows`` rows whatever the keys."""
+    place, bits = _sketch_place(on, rows)
+    return keys.select(place.alias("__place"), bits.alias("__bits")).groupBy("__place").agg(F.bit_or("__bits").alias("__bits"))
+
+
+def with_known_keys(background: DataFrame, keys: DataFrame, on: Sequence[str], n_keys: int) -> DataFrame:
+    """Background rows whose key may be among ``keys``: all that are, and few others. No row is shuffled."""
+    rows = 1 << max(6, min(SKETCH_ROWS, max(1, n_keys * SKETCH_BITS // 64)).bit_length())
+    rows = min(rows, SKETCH_ROWS)
+    place, bits = _sketch_place(on, rows)
+    sketch = key_sketch(keys, on, rows).withColumnRenamed("__bits", "__known")
+    marked = background.withColumn("__place", place).withColumn("__bits", bits)
+    hits = marked.join(F.broadcast(sketch), "__place").filter(F.col("__bits").bitwiseAND(F.col("__known")) == F.col("__bits"))
+    return hits.select(*[column(c) for c in background.columns])
 
 
 def _fetch(background: DataFrame, keys: DataFrame, on: Sequence[str], limit: int) -> DataFrame:
-    side = F.broadcast(keys) if within_broadcast_size(keys, limit) else keys
-    return background.join(side, list(on))
+    n_keys = keys.count()
+    if n_keys <= limit:
+        return background.join(F.broadcast(keys), list(on))
+    return with_known_keys(background, keys, on, n_keys).join(keys, list(on))
 
 
 def match_node_features(

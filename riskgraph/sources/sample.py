@@ -12,12 +12,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from riskgraph.functions.labels import prefixed_features
+from riskgraph.functions.labels import column, prefixed_features
 from riskgraph.operators import enrich, structure
 from riskgraph.session import materialize
 from riskgraph.sources.raw import NODE_FEATURES, typed_components, typed_edges, typed_nodes
 
-SAMPLE_EDGE_FEATURES = 5
+SAMPLE_EDGE_FEATURES = 95
+VECTOR_SIZE = 64
 _STAGED: dict[tuple[str, str, str], DataFrame] = {}
 
 
@@ -80,8 +81,20 @@ class SampleTables:
             )
         )
 
+    def _wide_items(self) -> DataFrame:
+        """Paired items with all edge features: their own five, a vector's entries, and some of those by quantity."""
+        vectors = self._read("embeddings").select("vec_id", "embedding")
+        size = vectors.count()
+        pairs = self._paired_items().withColumn("vec_id", F.col("txId") % size)
+        entry = [F.element_at("embedding", i + 1).cast("double") for i in range(VECTOR_SIZE)]
+        scaled = SAMPLE_EDGE_FEATURES - 5 - VECTOR_SIZE
+        made = [*entry, *[e * F.col("`feat#1`") for e in entry[:scaled]]]
+        joined = pairs.join(vectors, "vec_id")
+        kept = [column(c) for c in pairs.columns if c != "vec_id"]
+        return joined.select(*kept, *[e.alias(f"feat#{i}") for i, e in enumerate(made, 6)])
+
     def paired_items(self) -> DataFrame:
-        return self._staged("paired_items", self._paired_items)
+        return self._staged("paired_items", self._wide_items)
 
     def raw_clean_edges(self) -> DataFrame:
         return self.paired_items().select("clId1", "clId2", "txId")

@@ -48,12 +48,29 @@ def test_large_key_set_is_shuffled_with_the_same_result(spark, nodes):
         small = enrich.match_node_features(df, nodes, FEATURES)
         large = enrich.match_node_features(df, nodes, FEATURES, broadcast_rows=2)
         assert "BroadcastHashJoin" in plan(small)
-        assert "BroadcastHashJoin" not in plan(large)
+        assert "SortMergeJoin" in plan(large) and "SortMergeJoin" not in plan(small)
         assert sorted(small.collect()) == sorted(large.collect())
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+@pytest.mark.parametrize("on", [("a",), ("a", "b", "c")])
+def test_background_rows_without_a_key_fall_before_the_exchange(spark, on):
+    """The key sketch keeps every row with a known key, and few of the others."""
+    columns = [(F.col("id") * f).alias(c) for c, f in (("a", 1), ("b", 3), ("c", 5))]
+    background = spark.range(200_000).select(*columns, F.rand(1).alias("x")).persist()
+    keys = spark.range(0, 200_000, 40).select(*columns).select(*on)
+    kept = enrich.with_known_keys(background, keys, on, keys.count())
+    assert kept.columns == background.columns
+    assert kept.join(keys, list(on)).count() == background.join(keys, list(on)).count() == 5000
+    assert 5000 <= kept.count() < 5000 + 195_000 * 0.06
+    assert enrich.with_known_keys(background, keys.limit(0), on, 0).count() == 0
+    # The sketch has a bounded number of rows, and nothing but it is exchanged.
+    assert enrich.key_sketch(keys, on, 64).count() == 64
+    assert plan(kept).count("Exchange hashpartitioning(__place") == 1 and "SortMergeJoin" not in plan(kept)
+    background.unpersist()
+
+
 def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 

@@ -1,6 +1,7 @@
 """Raw files, stores and gates."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from riskgraph.errors import IntegrityError
 from riskgraph.session import new_scratch_path, scratch_root
@@ -84,3 +85,24 @@ def test_a_field_of_the_wrong_type_stops_the_run(spark, folder, tmp_path):
         raw.read_raw_csv(spark, str(tmp_path / "nodes.csv"), "nodes").collect()
     with pytest.raises(Exception, match="FAILFAST|Malformed"):
         stores.read_store(spark, str(tmp_path / "nodes.csv"), schema=raw.read_raw_csv(spark, str(tmp_path / "nodes.csv"), "nodes").schema).collect()
+
+
+def test_bucketed_tables_join_without_an_exchange(spark, tmp_path):
+    parts = []
+    for i, name in enumerate(("left_part", "right_part", "third_part")):
+        df = spark.range(i, 500).select(F.col("id").alias("component id"), (F.col("id") * i).alias(f"v{i}"))
+        parts.append(stores.write_bucketed(df, name, str(tmp_path / name), "component id", 4))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = parts[0].join(parts[1], "component id", "left").join(parts[2], "component id", "left")
+        folded = joined.groupBy("component id").agg(F.max("v2").alias("v2"))
+        assert "Exchange" not in folded._jdf.queryExecution().executedPlan().toString()
+        assert folded.count() == 500 and folded.filter("v2 IS NULL").count() == 2
+        # Another session knows the files, not the name.
+        again = stores.open_bucketed(spark, "reopened", str(tmp_path / "left_part"), parts[0].schema, "component id", 4)
+        plan = again.join(parts[1], "component id")._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and again.count() == 500
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        for name in ("left_part", "right_part", "third_part", "reopened"):
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
