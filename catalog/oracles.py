@@ -58,6 +58,13 @@ SELECT * FROM (
     l_linenumber::DOUBLE AS "feat#5"
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
 WHERE target_node_id IS NOT NULL"""
+BLOCKS["paired"] = (
+    "SELECT p.*, "
+    + ", ".join(f'e.embedding[{i}]::DOUBLE AS "feat#{i + 5}"' for i in range(1, 65))
+    + ", "
+    + ", ".join(f'e.embedding[{i}]::DOUBLE * p."feat#1" AS "feat#{i + 69}"' for i in range(1, 27))
+    + f" FROM ({BLOCKS['paired']}) p JOIN embeddings e ON e.vec_id = p.transaction_id % (SELECT count(*) FROM embeddings)"
+)
 BLOCKS["clean"] = "SELECT source_node_id, target_node_id, transaction_id FROM paired"
 BLOCKS["edges"] = """
 SELECT * FROM clean
@@ -222,21 +229,25 @@ def separation_columns() -> str:
 
 
 BLOCKS["separation"] = f"SELECT {separation_columns()} FROM ({separation_sql(STRUCTURAL_COLUMNS)})"
-BLOCKS["apart"] = f"SELECT {separation_columns()} FROM ({separation_sql(EVIDENCE_FEATURES)})"
+BLOCKS["apart"] = f"SELECT {separation_columns()} FROM ({separation_sql(EVIDENCE_FEATURES, 'node_store')})"
 BLOCKS["importance"] = f"""
 SELECT feature, round(abs_standardized_mean_difference / (SELECT sum(abs_standardized_mean_difference) FROM apart),
   {PLACES}) AS random_forest_importance FROM apart"""
 BLOCKS["weights"] = f"""
 SELECT feature, random_forest_importance AS importance FROM importance
 ORDER BY random_forest_importance DESC, feature LIMIT {TOP_FEATURES}"""
-BLOCKS["long_store"] = " UNION ALL ".join(
-    f"SELECT component_id, '{f}' AS feature, round({f}::DOUBLE, 9) AS value FROM store" for f in EVIDENCE_FEATURES
+BLOCKS["long_store"] = (
+    "SELECT component_id, feature, value FROM (SELECT component_id, "
+    + ", ".join(f"round({f}::DOUBLE, 9) AS {f}" for f in EVIDENCE_FEATURES)
+    + " FROM node_store) UNPIVOT INCLUDE NULLS (value FOR feature IN ("
+    + ", ".join(EVIDENCE_FEATURES)
+    + ")) WHERE feature IN (SELECT feature FROM weights)"
 )
 BLOCKS["stats"] = """
 SELECT component_id, feature, value,
-  (rank() OVER (PARTITION BY feature ORDER BY value)
+  CASE WHEN value IS NOT NULL THEN (rank() OVER (PARTITION BY feature, value IS NULL ORDER BY value)
     + (count(*) OVER (PARTITION BY feature, value) - 1) / 2.0::DOUBLE)
-    / count(*) OVER (PARTITION BY feature) AS percentile,
+    / count(value) OVER (PARTITION BY feature) END AS percentile,
   coalesce((value - avg(value) OVER (PARTITION BY feature))
     / nullif(stddev_pop(value) OVER (PARTITION BY feature), 0), 0) AS zscore
 FROM long_store"""
@@ -329,6 +340,19 @@ BLOCKS["monotone"] = """
 SELECT x, max(low) AS y FROM (
   SELECT i.x, a.x AS from_x, min((b.cp - a.cp + a.p) / (b.cn - a.cn + a.n)::DOUBLE) AS low
   FROM levels i JOIN levels a ON a.x <= i.x JOIN levels b ON b.x >= i.x GROUP BY 1, 2) GROUP BY x"""
+# Newton's method on the same scores: forty steps from the base rate.
+BLOCKS["sigmoid"] = """
+SELECT w, b FROM (
+  WITH RECURSIVE step(i, w, b) AS (
+    SELECT 0, 0.0::DOUBLE, ln(sum(p) / (sum(n) - sum(p))::DOUBLE) FROM levels
+    UNION ALL
+    SELECT i + 1, w - (ii * gs - si * gi) / (ss * ii - si * si), b - (ss * gi - si * gs) / (ss * ii - si * si)
+    FROM (
+      SELECT i, w, b, sum((n * q - p) * x) + w AS gs, sum(n * q - p) AS gi,
+        sum(n * q * (1 - q) * x * x) + 1.0 AS ss, sum(n * q * (1 - q) * x) AS si, sum(n * q * (1 - q)) AS ii
+      FROM (SELECT i, w, b, x, n, p, 1.0 / (1.0 + exp(-(w * x + b))) AS q FROM step, levels WHERE i < 40)
+      GROUP BY i, w, b))
+  SELECT w, b FROM step WHERE i = 40)"""
 BLOCKS["asked"] = """
 SELECT s.component_id, s.label, risk_score AS x FROM scores s JOIN split_42 i USING (component_id)
 WHERE model = 'return_share' AND i.is_test"""
@@ -552,8 +576,17 @@ def oracle_sql() -> dict[str, str]:
     made: dict[str, str] = {}
 
     # Sources, sinks, schema.
-    made["scan_raw_tables"] = " UNION ALL ".join(
-        f"SELECT count(*) AS rows, '{name}' AS name FROM {block}" for name, (block, _) in _RAW.items()
+    shapes = {
+        "raw_cc": "ccId, NULL, NULL, ccLabel, NULL",
+        "nodes": "node_id, component_id, NULL, NULL, NULL",
+        "edges": "source_node_id, target_node_id, transaction_id, NULL, NULL",
+        "bg_nodes": "clId, NULL, NULL, NULL, " + " + ".join(f'"{f}"' for f in NODE_NAMES),
+        "bg_edges": "source_node_id, target_node_id, transaction_id, NULL, " + " + ".join(f'"{f}"' for f in EDGE_NAMES),
+    }
+    listed = " UNION ALL ".join(f"SELECT '{name}', {shapes[block]} FROM {block}" for name, (block, _) in _RAW.items())
+    made["scan_raw_tables"] = (
+        "SELECT name, id_1, id_2::BIGINT AS id_2, id_3::BIGINT AS id_3, label_text::VARCHAR AS label_text, "
+        f"feature_sum::DOUBLE AS feature_sum FROM ({listed}) r(name, id_1, id_2, id_3, label_text, feature_sum)"
     )
     made["scan_feature_store"] = (
         f"SELECT component_id, label, node_count, {nums('directed_density')} FROM store"
@@ -620,6 +653,7 @@ FROM scores GROUP BY model"""
     )
     made["node_degree"] = "SELECT component_id, node_id, in_degree, out_degree, total_degree FROM degrees"
     made["assemble_component_store"] = made["write_store"]
+    made["bucketed_component_store"] = made["write_store"]
     as_is = ", ".join(f'"{f}"' for f in NODE_NAMES)
     made["match_node_features"] = f"SELECT component_id, node_id, {as_is} FROM matched_nodes"
     made["match_edge_features"] = (
@@ -807,7 +841,7 @@ FROM (SELECT * RENAME (matched_background_rows AS matched_node_rows) FROM ({_NOD
         f"SELECT feature, {num('importance', 'random_forest_importance')} FROM weights"
     )
     made["top_separation"] = (
-        f"SELECT feature, {separation} FROM (SELECT * FROM apart "
+        f"SELECT feature, {separation} FROM (SELECT {separation_columns()} FROM ({separation_sql(_NODE_STORE_FEATURES, 'node_store')}) "
         "ORDER BY abs_standardized_mean_difference DESC, feature LIMIT 15)"
     )
     made["select_model"] = (
@@ -840,6 +874,15 @@ SELECT first(method ORDER BY brier_score, method) AS best_brier_method, {num('mi
         + ", ".join(num(f"min(zscore) FILTER (feature = '{f}')", f) for f in EVIDENCE_FEATURES)
         + " FROM long_evidence WHERE rank <= 20 GROUP BY rank, component_id"
     )
+    for name, value in (("case_pivot_by_score", "zscore"), ("case_percentile_by_score", "percentile")):
+        made[name] = f"""
+SELECT c.rank, c.component_id, f.place, f.feature, {num('e.v', 'value')}
+FROM (SELECT DISTINCT rank, component_id FROM long_evidence WHERE rank <= 20) c
+CROSS JOIN (
+  SELECT feature, row_number() OVER (ORDER BY avg(evidence_score) DESC, feature) AS place
+  FROM long_evidence WHERE rank <= 20 AND feature IS NOT NULL GROUP BY feature) f
+LEFT JOIN (SELECT rank, component_id, feature, min({value}) AS v FROM long_evidence GROUP BY ALL) e
+  ON e.rank = c.rank AND e.component_id = c.component_id AND e.feature = f.feature"""
     made["evidence_frequency"] = """
 SELECT feature, count(*) AS evidence_mentions FROM long_evidence WHERE priority_band = 'tier_1_top_0_5pct'
 GROUP BY feature ORDER BY evidence_mentions DESC, feature LIMIT 12"""
@@ -918,6 +961,9 @@ SELECT label, n, {num('total / (2.0::DOUBLE * n)', 'class_weight')},
 FROM (SELECT label, count(*) AS n, sum(count(*)) OVER () AS total,
     sum(count(*) FILTER (label = 0)) OVER () AS neg FROM store GROUP BY label)"""
     made["shuffle_labels"] = "SELECT component_id, label FROM shuffled"
+    made["sigmoid_calibration"] = (
+        f"SELECT component_id, label, {num('1.0 / (1.0 + exp(-(w * x + b)))', 'risk_score')} FROM asked, sigmoid"
+    )
     made["isotonic_calibration"] = (
         f"SELECT component_id, label, {num('y', 'risk_score')} FROM asked JOIN curve USING (x)"
     )

@@ -16,10 +16,11 @@ from pyspark.sql.types import DoubleType
 
 from riskgraph.functions import labels, review
 from riskgraph.operators import (
-    enrich, evidence, gates, linking, metrics, models, neighbors, profile, ranking, splits,
+    calibration, enrich, evidence, gates, linking, metrics, models, neighbors, profile, ranking, splits,
     structure, tables,
 )
 from riskgraph.plans import review as runs
+from riskgraph.plans import validation
 from riskgraph.session import materialize, new_scratch_path
 from riskgraph.sources import raw, stores
 from riskgraph.sources.sample import SAMPLE_EDGE_FEATURES, SampleTables
@@ -27,8 +28,13 @@ from riskgraph.sources.sample import SAMPLE_EDGE_FEATURES, SampleTables
 PLACES = 6
 NUDGE = 1.7e-8
 SEEDS = models.VALIDATION_SEEDS
-EVIDENCE_FEATURES = structure.STRUCTURAL_COLUMNS
+EVIDENCE_FEATURES = (
+    *structure.STRUCTURAL_COLUMNS,
+    "matched_node_count",
+    *[f"node_feat_{i:02d}_{stat}" for i in range(1, raw.NODE_FEATURES + 1) for stat, _ in enrich.STATISTICS],
+)
 TOP_FEATURES = 15
+BUCKETS = 8
 GRAPH_FEATURES = tuple(f"node_feat_{i:02d}" for i in range(1, 44))
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,7 +46,7 @@ _FITS: dict[tuple[str, str, str], object] = {}
 # values and order rounding would spoil.
 EXACT = (
     "match_node_features", "match_edge_features", "rename_feature_columns", "graph_dataset",
-    "fit_logistic", "fit_random_forest", "score_cases", "feature_importance", "sigmoid_calibration",
+    "fit_logistic", "fit_random_forest", "score_cases", "feature_importance", "scan_raw_tables",
     "forest_calibration", "graph_feature_classifier", "structural_review_queue", "canonical_review_queue",
 )
 
@@ -102,17 +108,17 @@ def fit_store(t: SampleTables) -> DataFrame:
 
 
 def evidence_store(t: SampleTables) -> DataFrame:
-    """The structural store with doubles at nine places, so that equal values are equal in any engine."""
+    """The node-enriched store with doubles at nine places, so that equal values are equal in any engine."""
     return once(
         t,
         "evidence_store",
         lambda: materialize(
-            t.feature_store().select(
+            t.node_store().select(
                 *[
                     F.round(labels.column(f.name), 9).alias(f.name)
                     if isinstance(f.dataType, DoubleType)
                     else labels.column(f.name)
-                    for f in t.feature_store().schema.fields
+                    for f in t.node_store().schema.fields
                 ]
             ),
             "evidence_store",
@@ -128,7 +134,7 @@ def given_importance(t: SampleTables) -> DataFrame:
     """
 
     def build() -> DataFrame:
-        apart = gates.class_separation(t.feature_store(), EVIDENCE_FEATURES)
+        apart = gates.class_separation(t.node_store(), EVIDENCE_FEATURES)
         size = F.col("abs_standardized_mean_difference")
         # One row per listed feature.
         share = size / F.sum(size).over(Window.partitionBy())
@@ -240,6 +246,11 @@ def graph(t: SampleTables) -> dict[str, DataFrame]:
     return once(t, "graph", build)
 
 
+def labelled_graph(t: SampleTables) -> dict[str, DataFrame]:
+    parts = graph(t)
+    return {**parts, "components": parts["components"].filter("label IS NOT NULL")}
+
+
 def matched_nodes(t: SampleTables) -> DataFrame:
     features = labels.prefixed_features(t.background_nodes(), expected=raw.NODE_FEATURES)
     return enrich.match_node_features(t.background_nodes(), t.nodes(), features)
@@ -256,7 +267,7 @@ def matched_edges(t: SampleTables) -> DataFrame:
 
 @query
 def scan_raw_tables(t):
-    """Rows of the five tables, written as CSV and read by the raw reader."""
+    """The five tables, written as CSV and read by the raw reader: keys, text, and the sum of the features."""
     folder = new_scratch_path(t.spark, "raw")
     given = {
         "connected_components": t.raw_components(),
@@ -266,15 +277,21 @@ def scan_raw_tables(t):
         "background_edges": t.background_edges(),
     }
     for name, df in given.items():
-        df.write.option("header", True).csv(f"{folder}/{name}.csv")
-    tables_ = raw.scan_raw_tables(t.spark, folder)
-    return reduce(
-        DataFrame.unionByName,
-        [
-            df.agg(F.count(F.lit(1)).alias("rows")).withColumn("name", F.lit(name))
-            for name, df in tables_.items()
-        ],
-    )
+        df.write.option("header", True).option("ignoreLeadingWhiteSpace", False).csv(f"{folder}/{name}.csv")
+
+    def values(name: str, df: DataFrame) -> DataFrame:
+        features = [c for c in df.columns if c.startswith("feat#")]
+        ids = [c for c in df.columns if c not in (*features, "ccLabel")]
+        id_of = [F.col(ids[i]) if i < len(ids) else F.lit(None).cast("long") for i in range(3)]
+        total = reduce(lambda a, b: a + b, map(labels.column, features)) if features else F.lit(None).cast("double")
+        text = F.col("ccLabel") if "ccLabel" in df.columns else F.lit(None).cast("string")
+        return df.select(
+            F.lit(name).alias("name"), *[c.alias(f"id_{i}") for i, c in enumerate(id_of, 1)],
+            text.alias("label_text"), total.alias("feature_sum"),
+        )
+
+    read = raw.scan_raw_tables(t.spark, folder)
+    return reduce(DataFrame.unionByName, [values(name, df) for name, df in read.items()])
 
 
 @query
@@ -419,7 +436,7 @@ def drop_null_importance(t):
     known = given_importance(t)
     broken = known.unionByName(known.withColumn("random_forest_importance", F.lit(None).cast("double")))
     found = evidence.candidate_features(
-        broken, t.feature_store().drop("edge_count"), len(EVIDENCE_FEATURES)
+        broken, t.node_store().drop("edge_count"), len(EVIDENCE_FEATURES)
     )
     return known.filter(F.col("feature").isin(*found))
 
@@ -457,6 +474,24 @@ def assemble_component_store(t):
     )
 
 
+@query
+def bucketed_component_store(t):
+    """The store from tables in buckets of the component, which join without a shuffle."""
+    multiplicity = structure.edge_multiplicity(valid(t))
+    pair_rows = structure.pair_multiplicity(multiplicity)
+    parts = {
+        "components": t.components(),
+        "nodes": structure.component_degree_stats(structure.node_degree(t.nodes(), pair_rows)),
+        "edges": structure.transaction_stats(multiplicity),
+        "pairs": structure.unique_directed_pairs(pair_rows),
+    }
+    written = []
+    for name, df in parts.items():
+        path = new_scratch_path(t.spark, f"bucketed_{name}")
+        written.append(stores.write_bucketed(df, path.rsplit("/", 1)[1].replace("-", "_"), path, "component_id", BUCKETS))
+    return structure.assemble_component_store(*written)
+
+
 @query
 def match_node_features(t):
     return matched_nodes(t)
@@ -699,7 +734,7 @@ def priority_band(t):
 
 @query
 def average_rank_percentile(t):
-    return evidence.average_rank_percentile(evidence_store(t), EVIDENCE_FEATURES)
+    return evidence.average_rank_percentile(evidence_store(t), list(weights(t)))
 
 
 @query
@@ -735,7 +770,7 @@ def top_importance(t):
 
 @query
 def top_separation(t):
-    return ranking.top_separation(gates.class_separation(t.feature_store()))
+    return ranking.top_separation(gates.class_separation(t.node_store()))
 
 
 @query
@@ -793,6 +828,25 @@ def case_feature_pivot(t):
     return tables.case_feature_pivot(long_evidence(t), 20, features=EVIDENCE_FEATURES)
 
 
+def _pivot_cells(t, value: str) -> DataFrame:
+    """The pivot whose columns come from the data, as its cells: place and name of the column, case, value."""
+    wide = tables.case_feature_pivot(long_evidence(t), 20, value)
+    names = wide.columns[2:]
+    long = wide.unpivot(["rank", "component_id"], [labels.column(c) for c in names], "feature", "value")
+    place = F.array_position(F.array(*map(F.lit, names)), F.col("feature"))
+    return long.select("rank", "component_id", place.alias("place"), "feature", "value")
+
+
+@query
+def case_pivot_by_score(t):
+    return _pivot_cells(t, "zscore")
+
+
+@query
+def case_percentile_by_score(t):
+    return _pivot_cells(t, "percentile")
+
+
 @query
 def evidence_frequency(t):
     return tables.evidence_frequency(long_evidence(t), 12)
@@ -950,7 +1004,7 @@ def validation_gate(t):
         metrics.repeat_summary(seed_metrics(t), QUALITY),
         budget_summary(t),
         metrics.global_metrics(blind),
-        profile.leakage_audit(t.feature_store()),
+        profile.leakage_audit(fit_store(t)),
         model="balance",
     )
 
@@ -987,49 +1041,84 @@ def score_cases(t):
     return models.score_cases([_logistic(t), _forest(t)], _split(t)[1])
 
 
+def _validation(t):
+    return once(t, "validation", lambda: validation.validation_run(fit_store(t), new_scratch_path(t.spark, "validation")))
+
+
+def _comparison(t):
+    return once(
+        t,
+        "comparison",
+        lambda: validation.comparison_run(
+            labelled_graph(t), fit_store(t), GRAPH_FEATURES, new_scratch_path(t.spark, "comparison")
+        ),
+    )
+
+
+def _calibration(t):
+    return once(t, "calibration", lambda: validation.calibration_run(fit_store(t), new_scratch_path(t.spark, "calibration")))
+
+
 @query
 def feature_importance(t):
-    return models.feature_importance(_logistic(t), _forest(t), t.feature_store())
+    return _validation(t).importance
 
 
 @query
 def repeated_splits(t):
-    scored = models.repeated_splits(fit_store(t))
-    return metrics.ranking_and_brier(scored, ("seed", "model"))
+    return _validation(t).quality
 
 
 @query
 def permutation_sanity(t):
-    return models.permutation_sanity(fit_store(t))
+    return _validation(t).permutation
 
 
-def _calibrated(t):
-    return once(
-        t,
-        "calibrated",
-        lambda: materialize(models.calibration_scores(fit_store(t)), "calibrated"),
-    )
+@query
+def validation_run(t):
+    """Verdict on the fitted models of the node-enriched store."""
+    return _validation(t).gate
+
+
+@query
+def calibration_run(t):
+    """Quality of the forest's raw, sigmoid and isotonic scores."""
+    return _calibration(t).metrics
+
+
+@query
+def comparison_run(t):
+    """The graph classifier beside the forest on the same test rows."""
+    return _comparison(t).comparison
+
+
+def _held_out(t):
+    """Calibration and test part of the given scores."""
+
+    def build():
+        parts = splits.three_way_split(t.feature_store().select("component_id", "label"))
+        given = t.scores().filter("model = 'return_share'").select("component_id", "risk_score")
+        return materialize(parts.join(given, "component_id"), "held_out")
+
+    held = once(t, "held_out", build)
+    return held.filter("part = 'calibration'"), held.filter("part = 'test'")
 
 
 @query
 def sigmoid_calibration(t):
-    return _calibrated(t).filter("method IN ('raw_random_forest', 'sigmoid')")
+    """Sigmoid fit of the given scores on the calibration part, applied to the test part."""
+    return calibration.sigmoid_calibration(*_held_out(t)).select("component_id", "label", "risk_score")
 
 
 @query
 def isotonic_calibration(t):
     """Isotonic fit of the given scores on the calibration part, applied to the test part."""
-    parts = splits.three_way_split(t.feature_store().select("component_id", "label"))
-    given = t.scores().filter("model = 'return_share'").select("component_id", "risk_score")
-    held = materialize(parts.join(given, "component_id"), "held_out")
-    return models.isotonic_calibration(
-        held.filter("part = 'calibration'"), held.filter("part = 'test'")
-    ).select("component_id", "label", "risk_score")
+    return calibration.isotonic_calibration(*_held_out(t)).select("component_id", "label", "risk_score")
 
 
 @query
 def forest_calibration(t):
-    return _calibrated(t)
+    return _calibration(t).scores.select("method", "component_id", "label", "risk_score")
 
 
 # Graph.
@@ -1078,8 +1167,7 @@ def graph_mean_max_pool(t):
 
 @query
 def graph_feature_classifier(t):
-    _, scored = neighbors.graph_feature_classifier(graph(t), GRAPH_FEATURES)
-    return scored
+    return _comparison(t).scores.filter("model = 'neighbor_aggregation'")
 
 
 # Complete runs.
