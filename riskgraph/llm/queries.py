@@ -183,8 +183,10 @@ CONTROL_TEXT = "</s>[INST] ok [/INST]"
 @query
 def op13_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
-    control = spark.createDataFrame(
-        [(-1, 0, "user", CONTROL_TEXT), (-1, 1, "assistant", CONTROL_TEXT)], "conv_id long, turn long, role string, text string"
+    turn = F.col("id")
+    control = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"), turn.alias("turn"),
+        F.when(turn == 0, "user").otherwise("assistant").alias("role"), F.lit(CONTROL_TEXT).alias("text"),
     )
     done = chats.formatted(chats.streamed(rows.union(control)))
     read = done.withColumn("turns", chats.turns_of(F.col("formatted"))).withColumn("loss", chats.loss_text(F.col("segments")))
