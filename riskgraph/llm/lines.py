@@ -86,8 +86,8 @@ def removals(lines: DataFrame, widespread: DataFrame) -> DataFrame:
     )
 
 
-def kept_lines(lines: Column, removed: Column) -> Column:
-    """The lines between the removed numbers, in one pass over both arrays."""
+def kept_lines(lines: str, removed: str) -> Column:
+    """The lines between the removed numbers. Both are columns already, so each line is copied once."""
 
     def stretch(i: Column) -> Column:
         after = F.coalesce(F.when(i > 0, F.get(removed, i - 1)) + 1, F.lit(0))
@@ -107,16 +107,14 @@ def remove_boilerplate(
 ) -> DataFrame:
     """``docs`` with boilerplate lines cut from the text; counts where columns are named."""
     lines = materialize(line_table(docs, id_col, text_col, site_col), "lines")
-    key, cut_id, cut_key, gone = fresh(docs, "key", "cut_id", "cut_key", "gone")
+    key, cut_id, cut_key, gone, pieces = fresh(docs, "key", "cut_id", "cut_key", "gone", "pieces")
     cut = removals(lines, materialize(spread(lines, min_sites), "widespread")).select(
         F.col("doc_id").alias(cut_id), F.col("text_key").alias(cut_key), F.col("lines").alias(gone)
     )
     keyed = docs.withColumn(key, text_key(F.col(text_col)))
     joined = keyed.join(cut, same(keyed, cut, {id_col: cut_id, key: cut_key}), "left")
-    pieces = F.split(whole(keyed[text_col]), "\n", -1)
-    text = F.when(F.col(gone).isNull(), keyed[text_col]).otherwise(
-        F.array_join(kept_lines(pieces, F.col(gone)), "\n")
-    )
+    joined = joined.withColumn(pieces, F.split(whole(keyed[text_col]), "\n", -1))
+    text = F.when(F.col(gone).isNull(), keyed[text_col]).otherwise(F.array_join(kept_lines(pieces, gone), "\n"))
     counts = []
     if n_lines:
         counts.append(F.size(pieces).cast("long").alias(n_lines))
