@@ -90,39 +90,36 @@ class WordTokenizer:
 
     def learn_words(self, words: list[bytes]) -> None:
         """The pieces of words that take the next numbers."""
-        known = len(self.piece)
-        stems, tails = [], []
-        piece = self.piece
-        for word in words:
-            if word.isalpha():
-                stems.append(piece[word.lower()])
-                tails.append(0)
-                continue
-            stem = word.rstrip(b".,")
-            if not stem[-1:].isalnum() or b"<|" in word:
-                stem = word
-            tails.append(piece[word[len(stem) :]])
-            stems.append(piece[stem.lower() if stem.isascii() and b"<|" not in stem else stem])
-        self.stem = np.append(self.stem, np.array(stems, np.int64))
+        known, piece = len(self.piece), self.piece
+        stems = [word if word.isalpha() else word.rstrip(b".,") for word in words]
+        for i, stem in enumerate(stems):
+            if not stem.isalnum() and (not stem[-1:].isalnum() or b"<|" in words[i]):
+                stems[i] = words[i]
+        tails = [0 if len(word) == len(stem) else piece[word[len(stem) :]] for word, stem in zip(words, stems, strict=True)]
+        numbers = [
+            piece[stem.lower() if stem.isalnum() or (stem.isascii() and b"<|" not in stem) else stem] for stem in stems
+        ]
+        self.stem = np.append(self.stem, np.array(numbers, np.int64))
         self.tail = np.append(self.tail, np.array(tails, np.int64))
         self.learn_pieces(list(islice(self.piece, known, None)))
 
     def learn_pieces(self, pieces: list[bytes]) -> None:
         """The ids of pieces that take the next numbers."""
-        kinds: dict[str, list[int]] = {"letters": [], "plain": [], "full": [], "alone": []}
+        kinds: dict[str, list[int]] = {"plain": [], "full": [], "alone": []}
+        kinds["letters"] = [i for i, piece in enumerate(pieces) if piece.isalpha()]
         sign = self.sign.encode()
         for i, piece in enumerate(pieces):
+            if piece.isalpha():
+                continue
             if b"<|" in piece or sign in piece:
                 kinds["alone"].append(i)
-            elif not piece.isascii():
-                kinds["full"].append(i)
             else:
-                kinds["letters" if piece.isalpha() else "plain"].append(i)
+                kinds["plain" if piece.isascii() else "full"].append(i)
         starts, sizes = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64)
         parts, at = [self.flat], len(self.flat)
         for kind, places in kinds.items():
             step = 1 if kind == "alone" else JOINED
-            joined = [[pieces[i].decode() for i in places[j : j + step]] for j in range(0, len(places), step)]
+            joined = [[pieces[i] for i in places[j : j + step]] for j in range(0, len(places), step)]
             rows, lengths = self.encode_joined(self.full if kind == "alone" else getattr(self, kind), joined)
             parts += rows
             sizes[places] = lengths
@@ -131,11 +128,11 @@ class WordTokenizer:
         self.flat = np.concatenate(parts)
         self.starts, self.sizes = np.append(self.starts, starts), np.append(self.sizes, sizes)
 
-    def encode_joined(self, encoder, groups: list[list[str]]) -> tuple[list[np.ndarray], np.ndarray]:
+    def encode_joined(self, encoder, groups: list[list[bytes]]) -> tuple[list[np.ndarray], np.ndarray]:
         """Ids of every group without the signs, and the number of ids of every piece."""
         rows, lengths = [], [np.zeros(0, np.int64)]
         (sign_id,) = encoder.encode(self.sign, add_special_tokens=False).ids
-        texts = [f" {self.sign} ".join(group) for group in groups]
+        texts = [f" {self.sign} ".encode().join(group).decode() for group in groups]
         for found, group in zip(encoder.encode_batch_fast(texts, add_special_tokens=False), groups, strict=True):
             row = np.array(found.ids, np.uint32)
             if len(group) > 1:
