@@ -8,8 +8,9 @@ node never spans groups. Neighbouring suffixes mostly have the same smallest has
 travel as one stretch of words instead of 13 words each. The number of groups follows the
 total length of all texts, so that a group fits in memory, and a group is treated alone.
 
-In a group the suffixes are sorted by their first 13 words, compared word for word, which
-gives the leaves of each deep node side by side. A window that a smaller id also starts is
+In a group the suffixes are sorted by the words they start with, by prefix doubling: ranks of
+one, two, four and eight words give those of 13. Suffixes of one rank have 13 words in common
+and are the leaves of one deep node, side by side. A window that a smaller id also starts is
 a repeat; joined to runs, these are the maximal repeats of the larger documents.
 
 A task first does the same among its own documents. Windows repeated there are settled at
@@ -64,51 +65,44 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(out[: len(values) - width + 1], out[width - span :]) if span < width else out
 
 
-def window_hashes(tokens: np.ndarray, window: int) -> np.ndarray:
-    out = np.zeros(len(tokens) - window + 1, np.uint64)
-    spread = mixed(tokens.astype(np.uint64) + np.uint64(1))
-    for i in range(window):
-        out = out * np.uint64(0x100000001B3) + spread[i : len(out) + i]
-    return mixed(out)
+def ranks_of(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Rank of each pair of ranks (first, second) among all pairs, from 0; equal pairs share one."""
+    keys = first * (np.int64(second.max(initial=0)) + 1) + second
+    order = np.argsort(keys)
+    new = np.zeros(len(keys), np.int64)
+    new[order[1:]] = np.cumsum(np.diff(keys[order]) != 0)
+    return new
+
+
+def prefix_ranks(tokens: np.ndarray, window: int) -> np.ndarray:
+    """Rank of the ``window`` words from each place on, by doubling the length that is ranked."""
+    ranks, size = tokens, 1
+    while size < window:
+        # The last step overlaps where the length is no power of two.
+        gap = min(size, window - size)
+        ranks = ranks_of(ranks[:-gap], ranks[gap:])
+        size += gap
+    return ranks
 
 
 def repeats_in(tokens: np.ndarray, at: np.ndarray, doc: np.ndarray, window: int) -> np.ndarray:
     """Which windows (word numbers from place ``at``) also start in a document of smaller order.
 
-    ``doc`` holds the order of each window's document. Windows are sorted by a hash, then
-    compared word for word; windows whose hashes agree by chance are told apart exactly.
+    ``doc`` holds the order of each window's document. The windows are the leaves of the suffix
+    tree in order; those below one node of depth ``window`` have a rank in common.
     """
     repeated = np.zeros(len(at), bool)
     if not len(at):
         return repeated
-    hashes = window_hashes(tokens, window)[at]
-    order = np.lexsort((doc, hashes))
-    sorted_hash = hashes[order]
-    equal = sorted_hash[1:] == sorted_hash[:-1]
-    # Leaves side by side: word-for-word comparison with the neighbour.
-    left, right = at[order[:-1][equal]], at[order[1:][equal]]
-    agree = np.ones(len(left), bool)
-    for i in range(window):
-        agree &= tokens[left + i] == tokens[right + i]
-    if not agree.all():
-        order, equal = apart(tokens, at, doc, order, equal, window)
-    head = np.flatnonzero(np.r_[True, ~equal])
+    rank = prefix_ranks(tokens, window)[at]
+    order = np.lexsort((doc, rank))
+    head = np.r_[True, rank[order[1:]] != rank[order[:-1]]]
     first = doc[order[head]]
-    node = np.cumsum(np.r_[True, ~equal]) - 1
+    node = np.cumsum(head) - 1
     repeated[order] = doc[order] > first[node]
     return repeated
 
 
-def apart(tokens, at, doc, order, equal, window):
-    """The same order with every run of one hash sorted by its words, and its true equalities."""
-    out, flags = [], []
-    for run in np.split(order, np.flatnonzero(~equal) + 1):
-        rows = sorted((tuple(tokens[at[i] : at[i] + window]), doc[i], i) for i in run)
-        out += [i for *_, i in rows]
-        flags += [False] + [a[0] == b[0] for a, b in zip(rows, rows[1:], strict=False)]
-    return np.array(out), np.array(flags[1:], bool)
-
-
 def runs_of(flags: np.ndarray, *breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and lengths of stretches of set flags within which all of ``breaks`` stay equal."""
     if not len(flags):

@@ -245,8 +245,16 @@ def test_schedule_keeps_the_mixture():
     assert np.abs(served - wanted).max() < 1
 
 
-def test_repeats_of_hashes_that_agree_by_chance(monkeypatch):
-    monkeypatch.setattr(substrings, "window_hashes", lambda tokens, window: np.zeros(len(tokens) - window + 1, np.uint64))
+@pytest.mark.parametrize("window", [1, 2, 3, 5, 8, 13])
+def test_ranks_sort_suffixes_by_their_words(window):
+    tokens = np.random.default_rng(window).integers(0, 3, 300)
+    ranks = substrings.prefix_ranks(tokens, window)
+    stretches = [tuple(tokens[i : i + window]) for i in range(len(tokens) - window + 1)]
+    place = {s: i for i, s in enumerate(sorted(set(stretches)))}
+    assert ranks.tolist() == [place[s] if window > 1 else s[0] for s in stretches]
+
+
+def test_repeats_of_windows_side_by_side():
     tokens = np.array([1, 2, 3, 9, 1, 2, 3, 4, 1, 2, 3, 4])
     at = np.array([0, 1, 4, 5, 8, 9])
     found = substrings.repeats_in(tokens, at, np.array([0, 0, 1, 1, 2, 2]), 3)
