@@ -8,15 +8,51 @@ from __future__ import annotations
 
 import re
 
-from catalog.queries import (
-    EVIDENCE_FEATURES, GRAPH_FEATURES, NUDGE, PLACES, SEEDS, TOP_FEATURES,
+# Fixed values, written out here so that a wrong one in the code that is checked shows.
+NUDGE, PLACES = 1.7e-08, 6
+SEEDS = (11, 23, 42, 71, 101)
+TOP_FEATURES = 15
+NODE_FEATURES, EDGE_FEATURES = 43, 95
+BUDGETS = (0.005, 0.01, 0.02, 0.05, 0.10)
+CLIP = 1e-12
+EDGES = (0.0, 0.1, 0.2, 0.30000000000000004, 0.4, 0.5, 0.6000000000000001, 0.7000000000000001, 0.8, 0.9, 1.0)
+BINS = (
+    "(-0.001, 0.1]", "(0.1, 0.2]", "(0.2, 0.3]", "(0.3, 0.4]", "(0.4, 0.5]",
+    "(0.5, 0.6]", "(0.6, 0.7]", "(0.7, 0.8]", "(0.8, 0.9]", "(0.9, 1.0]",
+)
+TIERS = (
+    ("tier_1_top_0_5pct", 0.005, "Top 0.5%"),
+    ("tier_2_top_1pct", 0.01, "0.5–1%"),
+    ("tier_3_top_2pct", 0.02, "1–2%"),
+    ("tier_4_top_5pct", 0.05, "2–5%"),
+    ("tier_5_top_10pct", 0.10, "5–10%"),
+)
+STANDARD_TIER = ("standard", "Standard")
+SCORE_TYPE = "ranking_score_not_probability"
+REASON_PREFIX = "model-ranked component in "
+REASON_REVIEW = (
+    "review component evidence before escalation; model score is not proof of criminal activity"
+)
+EVIDENCE_METHOD = (
+    "top globally important node features ranked by feature_importance x absolute standardized deviation"
+)
+EVIDENCE_NOTE = (
+    "Statistical review cues only. Features are anonymized; evidence does not establish causality, c"
+    "riminal activity, or a legal/regulatory determination."
+)
+STRUCTURAL_COLUMNS = (
+    "node_count", "edge_count", "transaction_count", "unique_directed_pairs",
+    "self_loop_count", "avg_in_degree", "max_in_degree", "sd_in_degree",
+    "avg_out_degree", "max_out_degree", "sd_out_degree", "avg_total_degree",
+    "max_total_degree", "sd_total_degree", "source_nodes", "sink_nodes",
+    "isolate_nodes", "edges_per_node", "directed_density",
+)
+GRAPH_FEATURES = tuple(f"node_feat_{i:02d}" for i in range(1, NODE_FEATURES + 1))
+EVIDENCE_FEATURES = (
+    *STRUCTURAL_COLUMNS,
+    "matched_node_count",
+    *[f"{f}_{stat}" for f in GRAPH_FEATURES for stat in ("mean", "sd", "min", "max")],
 )
-from riskgraph.functions import review
-from riskgraph.functions.bins import bin_edges, bin_names
-from riskgraph.operators.metrics import BUDGETS, CLIP
-from riskgraph.operators.structure import STRUCTURAL_COLUMNS
-from riskgraph.sources.raw import NODE_FEATURES
-from riskgraph.sources.sample import SAMPLE_EDGE_FEATURES
 
 
 def num(expression: str, name: str | None = None) -> str:
@@ -138,9 +174,9 @@ def _stat_names(count: int, prefix: str) -> list[str]:
 
 
 NODE_STATS = _stat_names(NODE_FEATURES, "node_feat")
-EDGE_STATS = _stat_names(SAMPLE_EDGE_FEATURES, "edge_feat")
+EDGE_STATS = _stat_names(EDGE_FEATURES, "edge_feat")
 NODE_NAMES = [f"feat#{i}" for i in range(1, NODE_FEATURES + 1)]
-EDGE_NAMES = [f"feat#{i}" for i in range(1, SAMPLE_EDGE_FEATURES + 1)]
+EDGE_NAMES = [f"feat#{i}" for i in range(1, EDGE_FEATURES + 1)]
 
 BLOCKS["matched_nodes"] = (
     "SELECT component_id, node_id, b.* EXCLUDE (clId) FROM bg_nodes b JOIN nodes ON clId = node_id"
@@ -159,7 +195,7 @@ BLOCKS["node_aggs"] = (
 )
 BLOCKS["edge_aggs"] = (
     "SELECT component_id, count(*) AS matched_edge_count, "
-    + _statistics(SAMPLE_EDGE_FEATURES, "edge_feat")
+    + _statistics(EDGE_FEATURES, "edge_feat")
     + " FROM matched_edges GROUP BY component_id"
 )
 BLOCKS["node_store"] = "SELECT * FROM store LEFT JOIN node_aggs USING (component_id)"
@@ -200,13 +236,13 @@ FROM canon_counts LEFT JOIN (
 # Queue, importance and evidence.
 _BAND = (
     "CASE "
-    + " ".join(f"WHEN share <= {upper}::DOUBLE THEN '{name}'" for name, upper, _ in review.TIERS)
-    + f" ELSE '{review.STANDARD_TIER[0]}' END"
+    + " ".join(f"WHEN share <= {upper}::DOUBLE THEN '{name}'" for name, upper, _ in TIERS)
+    + f" ELSE '{STANDARD_TIER[0]}' END"
 )
 BLOCKS["queue"] = f"""
 SELECT component_id, risk_score, model, rank, share AS review_fraction_rank, {_BAND} AS priority_band,
-  '{review.SCORE_TYPE}' AS score_type,
-  '{review.REASON_PREFIX}' || replace({_BAND}, '_', ' ') AS reason_1, '{review.REASON_REVIEW}' AS reason_2
+  '{SCORE_TYPE}' AS score_type,
+  '{REASON_PREFIX}' || replace({_BAND}, '_', ' ') AS reason_1, '{REASON_REVIEW}' AS reason_2
 FROM (SELECT *, rank / (count(*) OVER ())::DOUBLE AS share FROM (
   SELECT component_id, risk_score, model, row_number() OVER (ORDER BY risk_score DESC, component_id) AS rank
   FROM scores WHERE model = 'return_share'))"""
@@ -303,7 +339,7 @@ SELECT rank, component_id, priority_band, risk_score, model, score_type, evidenc
 FROM queue JOIN top_evidence USING (component_id)"""
 BLOCKS["wide_evidence"] = f"""
 SELECT queue.*, e1 AS evidence_1, e2 AS evidence_2, e3 AS evidence_3,
-  '{review.EVIDENCE_METHOD}' AS evidence_method, '{review.EVIDENCE_NOTE}' AS evidence_note
+  '{EVIDENCE_METHOD}' AS evidence_method, '{EVIDENCE_NOTE}' AS evidence_note
 FROM queue JOIN (
   SELECT component_id, coalesce(max(evidence) FILTER (evidence_rank = 1), '') AS e1,
     coalesce(max(evidence) FILTER (evidence_rank = 2), '') AS e2,
@@ -422,9 +458,9 @@ BLOCKS["blind"] = (
     "SELECT component_id, x.label, risk_score, model FROM scores JOIN shuffled x USING (component_id)"
 )
 BLOCKS["blind_quality"] = quality_block("blind", "model")
-_INNER = bin_edges()[1:-1]
+_INNER = EDGES[1:-1]
 BLOCKS["bin_grid"] = "SELECT * FROM (VALUES " + ", ".join(
-    f"({i}::BIGINT, {bin_edges()[i]!r}::DOUBLE, {bin_edges()[i + 1]!r}::DOUBLE, '{bin_names()[i]}')"
+    f"({i}::BIGINT, {EDGES[i]!r}::DOUBLE, {EDGES[i + 1]!r}::DOUBLE, '{BINS[i]}')"
     for i in range(10)
 ) + ") g(bin_id, lower, upper, bin)"
 BLOCKS["bins"] = f"""
@@ -643,8 +679,8 @@ FROM scores GROUP BY model"""
         f"SELECT feature, {nums('random_forest_importance')} FROM importance WHERE feature <> 'edge_count'"
     )
     made["drop_helper_columns"] = (
-        f"SELECT component_id, rank, '{review.EVIDENCE_METHOD}' AS evidence_method, "
-        f"'{review.EVIDENCE_NOTE}' AS evidence_note FROM queue"
+        f"SELECT component_id, rank, '{EVIDENCE_METHOD}' AS evidence_method, "
+        f"'{EVIDENCE_NOTE}' AS evidence_note FROM queue"
     )
 
     # Joins and referential integrity.
@@ -886,7 +922,7 @@ LEFT JOIN (SELECT rank, component_id, feature, min({value}) AS v FROM long_evide
     made["evidence_frequency"] = """
 SELECT feature, count(*) AS evidence_mentions FROM long_evidence WHERE priority_band = 'tier_1_top_0_5pct'
 GROUP BY feature ORDER BY evidence_mentions DESC, feature LIMIT 12"""
-    bands = [(name, label) for name, _, label in review.TIERS] + [review.STANDARD_TIER]
+    bands = [(name, label) for name, _, label in TIERS] + [STANDARD_TIER]
     made["band_counts"] = (
         "SELECT tier_order, priority_tier, count(component_id) AS cases FROM (VALUES "
         + ", ".join(f"({i}::BIGINT, '{n}', '{label}')" for i, (n, label) in enumerate(bands))
@@ -961,6 +997,20 @@ SELECT label, n, {num('total / (2.0::DOUBLE * n)', 'class_weight')},
 FROM (SELECT label, count(*) AS n, sum(count(*)) OVER () AS total,
     sum(count(*) FILTER (label = 0)) OVER () AS neg FROM store GROUP BY label)"""
     made["shuffle_labels"] = "SELECT component_id, label FROM shuffled"
+    names = ", ".join(f"('{f}')" for f in (*STRUCTURAL_COLUMNS, "(intercept)"))
+    made["logistic_residuals"] = f"SELECT feature, true AS at_optimum FROM (VALUES {names}) v(feature)"
+    made["score_checks"] = """
+SELECT model, count(*) AS cases, count(DISTINCT component_id) AS components, sum(label)::BIGINT AS positives, 0::BIGINT AS outside
+FROM split_42, (VALUES ('logistic_regression'), ('random_forest')) m(model) WHERE is_test GROUP BY model"""
+    for name, size in (
+        ("structural_queue_checks", "count(*) FILTER (is_test) FROM split_42"),
+        ("canonical_queue_checks", "ceil(count(*) * 0.35::DOUBLE) FROM simple JOIN labelled USING (component_id)"),
+    ):
+        made[name] = f"""
+SELECT n AS cases, n AS components, 1::BIGINT AS first_rank, n AS last_rank, 0::BIGINT AS out_of_order,
+  len(list_filter(range(1, n + 1), lambda r: r / n::DOUBLE <= 0.005::DOUBLE))::BIGINT AS first_tier,
+  len(list_filter(range(1, n + 1), lambda r: r / n::DOUBLE > 0.10::DOUBLE))::BIGINT AS standard_tier
+FROM (SELECT ({size.split(' FROM ')[0]})::BIGINT AS n FROM {size.split(' FROM ')[1]})"""
     made["sigmoid_calibration"] = (
         f"SELECT component_id, label, {num('1.0 / (1.0 + exp(-(w * x + b)))', 'risk_score')} FROM asked, sigmoid"
     )

@@ -1031,6 +1031,26 @@ def fit_logistic(t):
     return _logistic(t).score(_split(t)[1])
 
 
+@query
+def logistic_residuals(t):
+    """Whether the fitted model stands at the optimum of its penalised loss, per coefficient."""
+    found = models.logistic_residuals(_logistic(t), _split(t)[0])
+    return found.select("feature", (F.abs("residual") < 0.001).alias("at_optimum"))
+
+
+@query
+def score_checks(t):
+    """Every test row once per model, with a score between 0 and 1."""
+    scored = models.score_cases([_logistic(t), _forest(t)], _split(t)[1])
+    score = F.col("risk_score")
+    return scored.groupBy("model").agg(
+        F.count(F.lit(1)).alias("cases"),
+        F.countDistinct("component_id").alias("components"),
+        F.sum("label").alias("positives"),
+        F.count_if(~score.between(0.0, 1.0) | F.isnan(score) | score.isNull()).alias("outside"),
+    )
+
+
 @query
 def fit_random_forest(t):
     return _forest(t).score(_split(t)[1])
@@ -1173,16 +1193,51 @@ def graph_feature_classifier(t):
 # Complete runs.
 
 
+def _structural_run(t):
+    return once(t, "structural_run", lambda: runs.structural_review(t.components(), t.nodes(), t.edges()))
+
+
+def _canonical_run(t):
+    nodes, edges = canonical(t)
+    kept = t.components().filter("label IS NOT NULL")
+    return once(t, "canonical_run", lambda: runs.canonical_review(kept, nodes, edges))
+
+
+def _queue_checks(run) -> DataFrame:
+    """One row: cases, ranks, cases that score higher than the one before, cases per first and last tier."""
+    queued = materialize(run.queue, "queue")
+    behind = queued.select((F.col("rank") - 1).alias("rank"), F.col("risk_score").alias("next_score"))
+    pairs_ = queued.join(behind, "rank", "left")
+    first, last = review.TIERS[0][0], review.STANDARD_TIER[0]
+    return pairs_.agg(
+        F.count(F.lit(1)).alias("cases"),
+        F.countDistinct("component_id").alias("components"),
+        F.min("rank").cast("long").alias("first_rank"),
+        F.max("rank").cast("long").alias("last_rank"),
+        F.count_if(F.col("next_score") > F.col("risk_score")).alias("out_of_order"),
+        F.count_if(F.col("priority_band") == first).alias("first_tier"),
+        F.count_if(F.col("priority_band") == last).alias("standard_tier"),
+    )
+
+
 @query
 def structural_review_queue(t):
-    return runs.structural_review(t.components(), t.nodes(), t.edges()).queue
+    return _structural_run(t).queue
 
 
 @query
 def canonical_review_queue(t):
-    nodes, edges = canonical(t)
-    kept = t.components().filter("label IS NOT NULL")
-    return runs.canonical_review(kept, nodes, edges).queue
+    return _canonical_run(t).queue
+
+
+@query
+def structural_queue_checks(t):
+    return _queue_checks(_structural_run(t))
+
+
+@query
+def canonical_queue_checks(t):
+    return _queue_checks(_canonical_run(t))
 
 
 @query

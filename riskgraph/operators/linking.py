@@ -49,17 +49,31 @@ def written_valid_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def missing_endpoints(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """One row: edges without a known source, and edges without a known target."""
-    sources = edges.join(_by_source(nodes), "source_node_id", "left_anti")
-    targets = edges.join(_by_target(nodes), "target_node_id", "left_anti")
-    return (
-        sources.select(F.lit("source").alias("side"))
-        .unionByName(targets.select(F.lit("target").alias("side")))
-        .agg(
-            F.count_if(F.col("side") == "source").alias("missing_source_nodes"),
-            F.count_if(F.col("side") == "target").alias("missing_target_nodes"),
+    """One row: edges without a known source, and edges without a known target.
+
+    Ends and nodes meet in one aggregation keyed on the node, which each task combines first;
+    an end without an id is never known.
+    """
+    end = F.explode(
+        F.array(
+            F.struct(F.col("source_node_id").alias("node_id"), F.lit(1).alias("sources"), F.lit(0).alias("targets")),
+            F.struct(F.col("target_node_id").alias("node_id"), F.lit(0).alias("sources"), F.lit(1).alias("targets")),
         )
     )
+    ends = edges.select(end.alias("end")).select("end.*", F.lit(0).alias("known"))
+    known = nodes.filter("node_id IS NOT NULL").select(
+        "node_id", F.lit(0).alias("sources"), F.lit(0).alias("targets"), F.lit(1).alias("known")
+    )
+    per_node = ends.unionByName(known).groupBy("node_id").agg(
+        F.sum("sources").alias("sources"), F.sum("targets").alias("targets"), F.max("known").alias("known")
+    )
+    unknown = F.col("known") == 0
+    return per_node.agg(
+        *[
+            F.coalesce(F.sum(F.when(unknown, F.col(c))), F.lit(0)).alias(f"missing_{c[:-1]}_nodes")
+            for c in ("sources", "targets")
+        ]
+    )
 
 
 def _both_known(edges: DataFrame, nodes: DataFrame) -> DataFrame:

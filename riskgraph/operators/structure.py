@@ -207,38 +207,43 @@ def component_structural_features(
 # edges (component_id, source, target). Ids may be numbers or text.
 
 
-def simple_degree_stats(edges: DataFrame) -> DataFrame:
-    """Mean in/out degree over nodes that have one, and the largest total degree."""
-    source = edges.select(
-        "component_id", F.col("source").alias("node_id"), F.lit(0).alias("ins"), F.lit(1).alias("outs")
-    )
-    target = edges.select(
-        "component_id", F.col("target").alias("node_id"), F.lit(1).alias("ins"), F.lit(0).alias("outs")
+def simple_edge_stats(edges: DataFrame) -> DataFrame:
+    """Edges, mean in/out degree over nodes that have one, and largest total degree, from one read of the edges."""
+    end = F.explode(
+        F.array(
+            F.struct(F.col("source").alias("node_id"), F.lit(0).alias("ins"), F.lit(1).alias("outs")),
+            F.struct(F.col("target").alias("node_id"), F.lit(1).alias("ins"), F.lit(0).alias("outs")),
+        )
     )
     per_node = (
-        source.unionByName(target)
-        .filter("node_id IS NOT NULL")
-        .groupBy("component_id", "node_id")
-        .agg(F.sum("ins").alias("ins"), F.sum("outs").alias("outs"))
+        edges.select("component_id", end.alias("end"))
+        .groupBy("component_id", F.col("end.node_id").alias("node_id"))
+        .agg(F.sum("end.ins").alias("ins"), F.sum("end.outs").alias("outs"))
     )
+    named = F.col("node_id").isNotNull()
     return per_node.groupBy("component_id").agg(
-        F.coalesce(F.avg(F.when(F.col("ins") > 0, F.col("ins"))), F.lit(0.0)).alias("mean_in_degree"),
-        F.coalesce(F.avg(F.when(F.col("outs") > 0, F.col("outs"))), F.lit(0.0)).alias("mean_out_degree"),
-        F.max(F.col("ins") + F.col("outs")).alias("max_degree"),
+        # Every edge leaves one end, whether its node is known or not.
+        F.sum("outs").alias("edge_count"),
+        F.coalesce(F.avg(F.when(named & (F.col("ins") > 0), F.col("ins"))), F.lit(0.0)).alias("mean_in_degree"),
+        F.coalesce(F.avg(F.when(named & (F.col("outs") > 0), F.col("outs"))), F.lit(0.0)).alias("mean_out_degree"),
+        F.max(F.when(named, F.col("ins") + F.col("outs"))).alias("max_degree"),
     )
 
 
-def count_outer_align(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Distinct nodes and edges per component, for components in either table."""
-    node_counts = (
+def distinct_node_counts(nodes: DataFrame) -> DataFrame:
+    return (
         nodes.select("component_id", "node_id")
         .distinct()
         .groupBy("component_id")
         .agg(F.count("node_id").alias("node_count"))
     )
+
+
+def count_outer_align(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Distinct nodes and edges per component, for components in either table."""
     edge_counts = edges.groupBy("component_id").agg(F.count(F.lit(1)).alias("edge_count"))
     return zero_fill(
-        node_counts.join(edge_counts, "component_id", "full_outer"), ("node_count", "edge_count")
+        distinct_node_counts(nodes).join(edge_counts, "component_id", "full_outer"), ("node_count", "edge_count")
     )
 
 
@@ -246,8 +251,9 @@ def simple_structural_features(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Counts, mean degrees, largest degree and edge-count density per component."""
     n = F.greatest(F.col("node_count"), F.lit(1))
     possible = n * (n - 1)
-    joined = count_outer_align(nodes, edges).join(simple_degree_stats(edges), "component_id", "left")
-    filled = zero_fill(joined, ("mean_in_degree", "mean_out_degree", "max_degree"))
+    joined = distinct_node_counts(nodes).join(simple_edge_stats(edges), "component_id", "full_outer")
+    counted = ("node_count", "edge_count", "mean_in_degree", "mean_out_degree", "max_degree")
+    filled = zero_fill(joined, counted)
     return filled.withColumn(
         "density", F.col("edge_count") / F.when(possible == 0, 1).otherwise(possible)
     )
