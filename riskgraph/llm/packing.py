@@ -41,8 +41,9 @@ from riskgraph.session import materialize
 
 WINDOW = 2048
 END = 1
-# Words whose ids a task remembers, and characters tokenized at once.
+# Words whose ids a task remembers, those that it keeps when they get more, and characters tokenized at once.
 REMEMBERED = 600_000
+KEPT = 200_000
 BATCH_CHARS = 8_000_000
 # Pieces of words that go through the tokenizer in one text.
 JOINED = 2000
@@ -88,6 +89,15 @@ class WordTokenizer:
         self.starts, self.sizes = np.zeros(1, np.int64), np.zeros(1, np.int64)
         self.flat = np.zeros(0, np.uint32)
 
+    def forget_late(self, kept: int) -> None:
+        """Keep the words that came first, which the frequent ones are among, and the pieces they need."""
+        self.word = Places(islice(self.word.items(), kept))
+        self.stem, self.tail = self.stem[:kept].copy(), self.tail[:kept].copy()
+        pieces = int(max(self.stem.max(initial=0), self.tail.max(initial=0))) + 1
+        self.piece = Places(islice(self.piece.items(), pieces))
+        self.starts, self.sizes = self.starts[:pieces].copy(), self.sizes[:pieces].copy()
+        self.flat = self.flat[: int((self.starts + self.sizes).max(initial=0))].copy()
+
     def learn_words(self, words: list[bytes]) -> None:
         """The pieces of words that take the next numbers."""
         known, piece = len(self.piece), self.piece
@@ -147,7 +157,7 @@ class WordTokenizer:
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """Ids of every text with the end token after them."""
         if len(self.word) > REMEMBERED:
-            self.forget()
+            self.forget_late(KEPT)
         split = [t.split() for t in texts]
         counts = np.fromiter(map(len, split), np.int64, len(split))
         known = len(self.word)

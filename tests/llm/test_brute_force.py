@@ -204,6 +204,23 @@ def test_word_tokenizer_equals_whole_texts():
         assert [ids.tolist() for ids in words.encode([t.encode() for t in texts])] == expected
 
 
+def test_word_tokenizer_forgets_late_words_only(monkeypatch):
+    """With room for few words every call forgets most of them, keeps the first, and gives the same ids."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    monkeypatch.setattr(packing, "REMEMBERED", 30)
+    monkeypatch.setattr(packing, "KEPT", 7)
+    words, whole = packing.WordTokenizer(Path(path).read_text()), Tokenizer.from_file(path)
+    for i in range(12):
+        texts = [f"the, end. of {i}th Word{i % 3} é{i}², x{j}y. {'z' * j}" for j in range(9)] + [""]
+        found = [ids.tolist() for ids in words.encode([t.encode() for t in texts])]
+        assert found == [e.ids + [packing.END] for e in whole.encode_batch(texts, add_special_tokens=False)]
+        assert list(words.word)[:3] == [b"the,", b"end.", b"of"] and len(words.stem) == len(words.word)
+    words.forget_late(0)
+    assert [ids.tolist() for ids in words.encode([b"", b"the"])] == [[packing.END], [*whole.encode("the", add_special_tokens=False).ids, packing.END]]
+
+
 @pytest.mark.parametrize("targets", [None, {"src0": 0.6, "src1": 0.0001, "src2": 0.2}])
 def test_packing_round_trip(spark, texts, targets):
     from tokenizers import Tokenizer
