@@ -1,6 +1,7 @@
 """Directed neighbour means, hops, pooling and the compact graph."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from riskgraph.errors import IntegrityError
 from riskgraph.operators import neighbors
@@ -61,3 +62,16 @@ def test_dataset_profile_and_gate(spark):
     assert (row.hard_failures, row.output_edge_rows, row.dropped_edge_rows) == (5, 1, 2)
     with pytest.raises(IntegrityError):
         stores.enforce(audit, neighbors.GRAPH_GATE)
+
+
+def test_nodes_are_never_broadcast_to_the_edges(spark, tmp_path):
+    """A file of very wide vectors looks small to the planner, which counts a vector as one entry."""
+    names = [f"node_feat_{i:02d}" for i in range(1, 44)]
+    wide = [(F.col("id") % 7 + i).cast("double").alias(n) for i, n in enumerate(names)]
+    spark.range(2000).select(F.col("id").alias("node_id"), F.col("id").alias("component_id"), *wide).write.parquet(f"{tmp_path}/nodes")
+    nodes = spark.read.parquet(f"{tmp_path}/nodes")
+    edges = spark.range(2000).select(F.col("id").alias("source_node_id"), (F.col("id") + 1).alias("target_node_id"))
+    for reverse in (False, True):
+        found = neighbors.neighbor_mean(nodes, edges, names, reverse)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
