@@ -148,3 +148,28 @@ def test_hot_endpoint_is_split_by_adaptive_execution(spark):
         for key in settings:
             spark.conf.unset(key)
     assert len(rows) == n and all(r.component_id is not None for r in rows)
+
+
+def test_plain_rows_move_and_hot_components_are_combined_first(spark, tmp_path):
+    rows = [(i % 5 if i < 50 else 9, float(i), None if i % 3 else 2.0 * i) for i in range(300)] + [(None, 1.0, 1.0)]
+    spark.createDataFrame(rows, "component_id long, `feat#1` double, `feat#2` double").write.parquet(f"{tmp_path}/matched")
+    matched = spark.read.parquet(f"{tmp_path}/matched")
+    plain = enrich._aggregate(matched, FEATURES, "f", "n")
+    mixed = enrich._aggregate(matched, FEATURES, "f", "n", hot_rows=100)
+    assert {r.component_id: r.n for r in plain.collect()} == {0: 10, 1: 10, 2: 10, 3: 10, 4: 10, 9: 250}
+
+    def rounded(df):
+        return sorted(tuple(round(v, 9) for v in r) for r in df.collect())
+
+    assert rounded(plain) == rounded(mixed)
+    # The exchange lies below both halves of the aggregation, where a row has one number a feature.
+    below = plan(plain).split("Exchange hashpartitioning")[-1]
+    assert "HashAggregate" not in below and "HashAggregate" in plan(mixed).split("Exchange hashpartitioning")[-1]
+
+
+def test_keys_of_the_sample_edges_cost_no_features(spark):
+    t = SampleTables(spark, "/root/testdata/sf0.001")
+    assert len(t.paired_items().columns) == 8
+    assert len(t.background_edges().columns) == 3 + SAMPLE_EDGE_FEATURES
+    assert "feat#" not in plan(t.raw_clean_edges()).split("Scan parquet")[1]
+    assert t.background_edges().count() == 2 * t.raw_clean_edges().count()
