@@ -81,6 +81,19 @@ def test_forest_is_repeatable(store):
     assert sorted(first) == sorted(again)
 
 
+def test_forest_in_parts_is_repeatable_and_keeps_repeated_rows(store):
+    """Two trees a part: six trees in three parts, none held as one model; a row that comes twice is scored twice."""
+    forest = models.fit_random_forest(store, trees=6, part_rows=1200)
+    assert forest.model is None and [n for _, n in forest.parts] == [2, 2, 2]
+    assert sum(forest.importances) == pytest.approx(1.0)
+    assert forest.features[forest.importances.index(max(forest.importances))] == "signal"
+    once = forest.score(store).collect()
+    again = models.fit_random_forest(store.repartition(5), trees=6, part_rows=1200).score(store).collect()
+    assert sorted(once) == sorted(again) and len(once) == 600
+    assert sorted(forest.score(store.union(store)).collect()) == sorted(once + once)
+    assert {r.label: r.risk_score > 0.5 for r in once} == {0: False, 1: True}
+
+
 def test_null_features_are_refused(store):
     broken = store.withColumn("noise", F.when(F.col("component_id") > 3, F.col("noise")))
     with pytest.raises(Exception, match="null"):
