@@ -26,7 +26,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of similar five-word shingles stays, the one with the smallest id."""
+    """One document of each group stays, the one with the smallest id: SimHash and MinHash candidates, verified."""
     return similar.drop_similar(docs)
 
 

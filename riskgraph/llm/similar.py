@@ -1,12 +1,13 @@
-"""Near duplicates by the Jaccard similarity of their five-word shingles, 0.8 or more.
+"""Near duplicates by SimHash, verified by the Jaccard similarity of five-word shingles, 0.8 or more.
 
-A SimHash of 64 bits is too coarse for this: at similarity 0.8 about ten bits differ, and
-segments short enough to survive that are shared by unrelated documents. So candidates come from MinHash:
+Documents whose fingerprints link under simhash are candidates. A SimHash of 64 bits alone is
+too coarse: at similarity 0.8 about ten bits differ, and segments short enough to survive that
+are shared by unrelated documents. So more candidates come from MinHash:
 25 bands of five minima, of which a pair of similarity 0.8 shares at least one with a
 probability of 0.99995. Every link is then verified on the whole shingle sets.
 
 Documents with equal shingle sets meet in one row first. In a first pass each member of a
-band is compared with the band's smallest node. Components of the verified links leave few
+band, and of a class of equal fingerprints, is compared with its smallest node. Components of the verified links leave few
 bands whose members lie apart. Only the documents of those go through an exact join: their
 shingles are ordered by rarity, and two sets that are similar share one of the rarest fifth
 of each, at places that leave enough shingles behind it in both. Near copies that differ in
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 
 from riskgraph.llm.columns import fresh, whole
 from riskgraph.llm.graph import components
-from riskgraph.llm.simhash import BATCH_CHARS, shingle_hashes
+from riskgraph.llm.simhash import BATCH_CHARS, links, majority_bits, shingle_hashes
 from riskgraph.session import materialize
 
 SHINGLE = 5
@@ -68,26 +69,29 @@ def band_keys(sets: list[np.ndarray]) -> list[list[int]]:
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, node, size of the shingle set, keys of its bands."""
+    """doc_id, node, size of the shingle set, keys of its bands, fingerprint of the text."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def compute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for _, part in batch.groupby(batch["text"].map(len).cumsum() // BATCH_CHARS, sort=False):
                 sets = [shingle_set(text) for text in part["text"]]
+                hashes = [shingle_hashes(text) for text in part["text"]]
+                sizes = np.fromiter(map(len, hashes), np.int64, len(hashes))
                 yield pd.DataFrame(
                     {
                         "doc_id": part["doc_id"].to_numpy(),
                         "node": [node_of(s) for s in sets],
                         "size": [len(s) for s in sets],
                         "keys": band_keys(sets),
+                        "fingerprint": majority_bits(np.concatenate(hashes), sizes),
                     }
                 )
 
     rows = docs.filter(F.col(id_col).isNotNull()).select(
         F.col(id_col).alias("doc_id"), whole(F.col(text_col)).cast("binary").alias("text")
     )
-    return rows.mapInPandas(compute, f"doc_id {kind}, node long, size long, keys array<long>")
+    return rows.mapInPandas(compute, f"doc_id {kind}, node long, size long, keys array<long>, fingerprint long")
 
 
 def runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -136,6 +140,15 @@ def stars(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield from in_batches(pairs())
 
 
+def simhash_pairs(nodes: DataFrame) -> DataFrame:
+    """a, b: each node with the smallest one of its fingerprint, and the smallest ones of linked fingerprints."""
+    classes = materialize(nodes.groupBy("fingerprint").agg(F.min("node").alias("first")), "classes")
+    equal = nodes.join(classes, "fingerprint").filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    one, other = (classes.select(F.col("fingerprint").alias(c), F.col("first").alias(f"of_{c}")) for c in ("a", "b"))
+    linked = links(classes.select("fingerprint")).join(one, "a").join(other, "b")
+    return equal.union(linked.select(F.least("of_a", "of_b").alias("a"), F.greatest("of_a", "of_b").alias("b")))
+
+
 def may_be_alike(n: np.ndarray, i: np.ndarray, m: int, j: int) -> np.ndarray:
     """Whether sets of n and m shingles that share the ones at places i and j, and none before, can reach 0.8."""
     return 9 * np.minimum(n - i, m - j) >= 4 * (n + m)
@@ -254,14 +267,15 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, component_id of every row with an id: the smallest id reachable over links."""
     rows = materialize(sketches(docs, id_col, text_col), "sketches")
-    nodes = rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("size").alias("size"), F.first("keys").alias("keys"))
+    nodes = rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("size").alias("size"), F.first("keys").alias("keys"), F.min("fingerprint").alias("fingerprint"))
     nodes = materialize(nodes, "nodes")
 
     def under_keys(of: DataFrame, *more: str) -> DataFrame:
         keyed = of.select(F.explode("keys").alias("key"), "node", *more)
         return keyed.repartition("key").sortWithinPartitions("key", "node")
 
-    first = materialize(under_keys(nodes).mapInPandas(stars, "a long, b long").distinct(), "pairs")
+    banded = under_keys(nodes).mapInPandas(stars, "a long, b long")
+    first = materialize(banded.union(simhash_pairs(nodes)).distinct(), "pairs")
     ends = first.select(F.explode(F.array("a", "b")).alias("end")).distinct()
     chosen = materialize(nodes.join(ends, F.col("node") == F.col("end"), "left_semi"), "chosen")
     sets = materialize(shingle_sets(docs, chosen.select("least", "node"), id_col, text_col), "shingle-sets")

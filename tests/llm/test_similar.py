@@ -93,3 +93,19 @@ def test_rows_without_id_and_repeated_ids(spark):
     assert kept.columns == docs.columns
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "2", "2", "3", "None", "None"]
     assert similar.drop_similar(docs.limit(0)).collect() == []
+
+
+def test_simhash_alone_gives_candidates_that_are_verified(spark, monkeypatch):
+    """Without MinHash pairs, fingerprints that link still bring a near copy in, but no text below the limit."""
+    monkeypatch.setattr(similar, "stars", lambda batches: iter(()))
+    rng = random.Random(7)
+    words = [f"w{rng.randrange(5000)}" for _ in range(2000)]
+    edited = [*words[:-1], "other"]
+    # The same words three by three, so an equal fingerprint, but other windows of five.
+    cycle = ["a b a b a b a b", "b a b a b a b a"]
+    docs = spark.createDataFrame(
+        [(1, " ".join(words)), (2, " ".join(edited)), (3, cycle[0]), (4, cycle[1]), (5, "a b a b"), (6, None), (7, "")],
+        "doc_id long, text string",
+    )
+    found = {r.doc_id: r.component_id for r in similar.similar(docs).collect()}
+    assert found[2] == 1 and found[4] == found[3] and found[5] == 5 and found[7] == found[6] == 6
