@@ -173,3 +173,11 @@ def test_keys_of_the_sample_edges_cost_no_features(spark):
     assert len(t.background_edges().columns) == 3 + SAMPLE_EDGE_FEATURES
     assert "feat#" not in plan(t.raw_clean_edges()).split("Scan parquet")[1]
     assert t.background_edges().count() == 2 * t.raw_clean_edges().count()
+
+
+def test_key_sketch_keeps_its_bits_a_key_at_tens_of_millions_of_keys():
+    for n_keys in (1, 1000, 9_000_000, 16_000_000):
+        assert enrich.sketch_rows(n_keys) * 64 >= n_keys * enrich.SKETCH_BITS
+    # Four bits a key or more still drop nine in ten of the other rows.
+    assert enrich.sketch_rows(54_000_000) * 64 >= 4 * 54_000_000
+    assert enrich.sketch_rows(10**12) == enrich.SKETCH_ROWS
