@@ -39,7 +39,9 @@ SLICE = 512
 FIT_ROWS = 20_000
 HIDDEN = 32
 KEEP_FROM = 0.7
-BATCH_CHARS = 4_000_000
+# Words and their vectors take up to a hundred times the bytes of their text while a piece is worked on.
+BATCH_CHARS = 500_000
+KNOWN_WORDS = 150_000
 # Runs of letters, of digits and of other signs are words of their own.
 WORD = re.compile(rb"[A-Za-z\x80-\xff]+|[0-9]+|[^A-Za-z0-9\x80-\xff\x20\x09-\x0D]+")
 
@@ -69,7 +71,7 @@ def parts_of(batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
 
 def placed(texts: list[bytes], places: Places) -> tuple[np.ndarray, np.ndarray]:
     """Places of all words, and the number of words of each text."""
-    if len(places) > 400_000:
+    if len(places) > KNOWN_WORDS:
         places.clear()
     words = [WORD.findall(t) for t in texts]
     sizes = np.fromiter(map(len, words), np.int64, len(words))
@@ -77,6 +79,24 @@ def placed(texts: list[bytes], places: Places) -> tuple[np.ndarray, np.ndarray]:
     return flat, sizes
 
 
+def add_contexts(sums: np.ndarray, texts: list[bytes], places: Places, table: np.ndarray) -> None:
+    """Add to the ``sums`` by place the index vectors around every word of the texts."""
+    flat, sizes = placed(texts, places)
+    if not len(flat):
+        return
+    own = table[flat]
+    around = own.copy()
+    doc = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+    for shift in range(1, REACH + 1):
+        within = (doc[shift:] == doc[:-shift]).astype(np.int8)[:, None]
+        around[shift:] += own[:-shift] * within
+        around[:-shift] += own[shift:] * within
+    order = np.argsort(flat, kind="stable")
+    sorted_places = flat[order]
+    starts = np.flatnonzero(np.r_[True, sorted_places[1:] != sorted_places[:-1]])
+    sums[sorted_places[starts]] += np.add.reduceat(around[order], starts, axis=0, dtype=np.int64)
+
+
 def word_vectors(texts: DataFrame) -> np.ndarray:
     """Unit vectors by place, from all documents (column text, binary)."""
 
@@ -85,20 +105,7 @@ def word_vectors(texts: DataFrame) -> np.ndarray:
         sums = np.zeros((PLACES, DIMENSIONS), np.int64)
         for batch in batches:
             for part in parts_of(batch):
-                flat, sizes = placed(list(part["text"]), places)
-                if not len(flat):
-                    continue
-                own = table[flat]
-                around = own.copy()
-                doc = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
-                for shift in range(1, REACH + 1):
-                    within = (doc[shift:] == doc[:-shift]).astype(np.int8)[:, None]
-                    around[shift:] += own[:-shift] * within
-                    around[:-shift] += own[shift:] * within
-                order = np.argsort(flat, kind="stable")
-                sorted_places = flat[order]
-                starts = np.flatnonzero(np.r_[True, sorted_places[1:] != sorted_places[:-1]])
-                sums[sorted_places[starts]] += np.add.reduceat(around[order], starts, axis=0, dtype=np.int64)
+                add_contexts(sums, list(part["text"]), places, table)
         yield pd.DataFrame(
             {"slice": range(PLACES // SLICE), "sums": [sums[i : i + SLICE].tobytes() for i in range(0, PLACES, SLICE)]}
         )
