@@ -1,7 +1,7 @@
 """A forest for any number of training rows: one ordinary forest per shard, scores averaged.
 
 The rows are dealt into disjoint shards by a hash of their id, as many as it takes for a shard
-to hold about ``models.FIT_ROWS`` rows. The driver holds the trees of one shard at a time; each
+to hold about ``models.FIT_ROWS`` rows. A forest is fitted on all rows of its shard; each
 shard's scores are a stage, so a stopped run goes on with the next shard. Every training row
 is used by exactly one forest.
 """
@@ -47,8 +47,7 @@ def sharded_forest_scores(
         rows = shard_rows(train, shard, shards)
         if rows.select("label").distinct().count() < 2:
             raise IntegrityError(f"shard {shard} of {shards} has one class only")
-        # A hash never deals exactly even shards; none is cut down.
-        forest = models.fit_random_forest(rows, names, seed + shard, trees, max_rows=2 * shard_size)
+        forest = models.fit_random_forest(rows, names, seed + shard, trees)
         return forest.score(target)
 
     parts = [stages.table(f"shard-{shard}", lambda: scores(shard)) for shard in range(shards)]
